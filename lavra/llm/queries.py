@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lavra.llm import encoding, leakage, lookalike, site_lines, splitting, truncation
+from lavra.llm import encoding, leakage, lookalike, scan_noise, site_lines, splitting, truncation
 from lavra.sources.tables import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noisy lines of scanned pages by kind."""
+    return scan_noise.noise(table(spark, sf_dir, "page_text")).select("page_id", "line_no", "kind")
+
+
+def p2_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as continuous readable paragraphs, without its noise and its source's repeated lines."""
+    pages = table(spark, sf_dir, "page_text")
+    found, fixes = scan_noise.noise_and_corrections(pages)
+    return scan_noise.repaired_pages(pages, found, fixes, p5_found(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose text holds characters standing for others."""
     evidence = lookalike.lookalikes(table(spark, sf_dir, "field_evidence"), "evidence", "evidence_id", "trecho_origem")
@@ -114,7 +126,7 @@ def p10_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p4_found, p4_quotes_on_page, p5_found, p5_clean_pages, p6_found, p6_pieces, p6_clause_pieces, p8_ids,
+        p2_found, p2_pages, p4_found, p4_quotes_on_page, p5_found, p5_clean_pages, p6_found, p6_pieces, p6_clause_pieces, p8_ids,
         p9_found, p9_leak_report, p10_found, p10_source_rates,
     )
 }
