@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lavra.llm import encoding, leakage, lookalike, scan_noise, site_lines, splitting, truncation
+from lavra.llm import encoding, leakage, lookalike, names, scan_noise, site_lines, splitting, truncation
 from lavra.sources.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of spellings of one insurer or policyholder."""
+    return names.variant_pairs(names.link_names(names.spellings(table(spark, sf_dir, "policy_extraction"))))
+
+
+def p1_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each spelling with its entity's most frequent one."""
+    return names.canonical_names(names.link_names(names.spellings(table(spark, sf_dir, "policy_extraction"))))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noisy lines of scanned pages by kind."""
     return scan_noise.noise(table(spark, sf_dir, "page_text")).select("page_id", "line_no", "kind")
@@ -126,7 +136,7 @@ def p10_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_pages, p4_found, p4_quotes_on_page, p5_found, p5_clean_pages, p6_found, p6_pieces, p6_clause_pieces, p8_ids,
+        p1_found, p1_canonical, p2_found, p2_pages, p4_found, p4_quotes_on_page, p5_found, p5_clean_pages, p6_found, p6_pieces, p6_clause_pieces, p8_ids,
         p9_found, p9_leak_report, p10_found, p10_source_rates,
     )
 }
