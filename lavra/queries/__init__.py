@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lavra.queries import quality
+from lavra.queries import quality, retrieval
 
-QUERIES = {**quality.QUERIES}
-ORACLES = {**quality.ORACLES}
+_MODULES = (quality, retrieval)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
