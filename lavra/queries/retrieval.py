@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lavra.functions import dims
-from lavra.operators import retrieval as R
+from lavra.operators import retrieval as R, vectors as V
 from lavra.sources.tables import table
 
 
@@ -131,3 +131,22 @@ ORACLES = {
     "r17_round_robin_cap": _sql("""SELECT document_id, group_id, clause_id, place FROM (SELECT document_id, group_id, clause_id, row_number() OVER (PARTITION BY document_id, group_id ORDER BY turn.r, turn.o, clause_id)::INT AS place
         FROM (SELECT document_id, group_id, clause_id, min({'r': rank, 'o': field_order}) AS turn FROM sel JOIN grp USING (field_name) GROUP BY ALL)) WHERE place <= 3"""),
 }
+
+
+def v01_cosine_top_k(spark, sf_dir):
+    """Ten nearest vectors of every query vector (ids divisible by 100), against all rows."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return V.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
+def v02_filtered_top_k(spark, sf_dir):
+    """Five nearest vectors of the query's own label."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return V.top_k(vectors, vectors.where("vec_id % 100 = 0"), 5, "label")
+
+
+QUERIES |= {f.__name__: f for f in (v01_cosine_top_k, v02_filtered_top_k)}
+_TOP = """SELECT query_id, vec_id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM (
+  SELECT q.vec_id AS query_id, v.vec_id, round(greatest(0, 1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS distance
+  FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0 {0})) WHERE rank <= {1}"""
+ORACLES |= {"v01_cosine_top_k": _TOP.format("", 10), "v02_filtered_top_k": _TOP.format("AND q.label = v.label", 5)}
