@@ -11,9 +11,9 @@ rebuilds only the documents that contain a line whose status changed.  One
 full pass is one delta merged into empty tables.
 
 A line's identity is its text in canonical form, lower case, without white
-space, with each digit run replaced by one sign.  Identities are kept as two
-64-bit hashes, so no text is shuffled; together with the source they make a
-collision implausible at any corpus size.
+space, with each digit run replaced by one sign.  Identities are kept as a
+128-bit hash in two columns, so no text is shuffled; a collision is implausible
+at any corpus size.
 
 Defined results: null and blank pages have no lines; documents without a
 source are left out; repeated rows of a page or a delivery count once; a
@@ -22,40 +22,59 @@ document delivered by several sources counts in each.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import re
+from collections.abc import Iterator
+from struct import unpack
 
-from lavra.llm.lookalike import canonical_column
-from lavra.session import broadcast_if_small
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
+from xxhash import xxh3_128_digest
+
+from lavra.llm.lookalike import SUSPECT, canonical
+from lavra.session import broadcast_if_small, cut
 
 #: Fixed values of the problem.
 MIN_CHARS, MIN_DOCS, MIN_SHARE = 30, 4, 0.25
 
 
-def _lines(text: Column, min_chars: int) -> Column:
-    """Array of (line_no, key_a, key_b) of the lines long enough to be judged."""
-    collapsed = F.regexp_replace(text, r"[ \t\r\f\x0b]+", " ")
-    keyed = F.regexp_replace(F.lower(F.regexp_replace(collapsed, r"[0-9]+", "#")), " ", "")
-    pairs = F.arrays_zip(F.split(collapsed, "\n").alias("t"), F.split(keyed, "\n").alias("k"))
-    numbered = F.transform(
-        pairs,
-        lambda x, i: F.struct(
-            (i + 1).alias("line_no"),
-            F.length(F.trim(x["t"])).alias("n"),
-            F.xxhash64(x["k"]).alias("key_a"),
-            F.xxhash64(F.lit(1), x["k"]).alias("key_b"),
-        ),
-    )
-    return F.filter(numbered, lambda x: x["n"] >= min_chars)
+_SUSPECT = re.compile(SUSPECT)
+_SPACE, _DIGITS = re.compile(r"[^\S\n]+"), re.compile(r"[0-9]+")
+_KEYS = "page_id bigint, document_id string, line_no array<int>, key_a array<bigint>, key_b array<bigint>"
+
+
+def line_keys(text: str, min_chars: int = MIN_CHARS) -> list[tuple[int, int, int]]:
+    """(line_no, key_a, key_b) of the lines of a page that are long enough to be judged."""
+    text = canonical(text) if _SUSPECT.search(text) else text
+    lines = _SPACE.sub(" ", text).split("\n")
+    keyed = _DIGITS.sub("#", text.lower()).replace(" ", "").split("\n")
+    out = []
+    for k, line in enumerate(lines):
+        if len(line) >= min_chars and len(line.strip()) >= min_chars:
+            key = keyed[k] if keyed[k].isascii() or not _SPACE.search(keyed[k]) else _SPACE.sub("", keyed[k])
+            out.append((k + 1, *unpack("<qq", xxh3_128_digest(key.replace("\t", "").replace("\r", "")))))
+    return out
+
+
+def _keyer(min_chars: int):
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [list(zip(*line_keys(t, min_chars))) or [(), (), ()] for t in batch["text"]]
+            yield pd.DataFrame(
+                {"page_id": batch["page_id"], "document_id": batch["document_id"], "line_no": [list(f[0]) for f in found], "key_a": [list(f[1]) for f in found], "key_b": [list(f[2]) for f in found]}
+            )
+
+    return keys
 
 
 def page_lines(pages: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per page and judged line: page_id, document_id, line_no, key_a, key_b."""
-    array = _lines(canonical_column("text"), min_chars)
-    return (
-        pages.where(F.col("text").isNotNull())
-        .select("page_id", "document_id", F.explode(array).alias("l"))
-        .select("page_id", "document_id", "l.line_no", "l.key_a", "l.key_b")
-    )
+    """One row per page and judged line: page_id, document_id, line_no, key_a, key_b.
+
+    The keys are made in one pass over the text and kept in the shared folder, one row a page: counting and finding the
+    occurrences both read them there.
+    """
+    made = cut(pages.where(F.length("text") > 0).select(F.col("page_id").cast("bigint").alias("page_id"), "document_id", "text").mapInPandas(_keyer(min_chars), _KEYS))
+    each = F.explode(F.arrays_zip("line_no", "key_a", "key_b")).alias("l")
+    return made.select("page_id", "document_id", each).select("page_id", "document_id", "l.line_no", "l.key_a", "l.key_b")
 
 
 def document_sources(deliveries: DataFrame) -> DataFrame:
