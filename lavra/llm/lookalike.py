@@ -39,7 +39,7 @@ SUSPECT = r"[^\x00-\x7F¡-¬®-ıĴ-ľŁ-ňŊ-žƀ-ǃǍ-ǰǴ-ɏ‐-‧‰-⁞₠
 
 _SEGMENT = re.compile(f".?{SUSPECT}+", re.S)
 _FOREIGN = re.compile("[Ͱ-ԯ]")
-_WORD = re.compile(r"[^\W_]+")
+_WORD = re.compile(r"[^\W_][^\W_\u0300-\u036f]*(?:[\u0300-\u036f]+[^\W_]*)*")
 #: Everything ``_one`` may change; combining marks alone are left to the quick check.
 _FOLDABLE = re.compile("[^\x00-\x7f\u00a1-\u00ac\u00ae-\u036f\u0370-\u05ff\u0900-\u10ff]")
 _FOLDED_TAGS = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<small>", "<initial>", "<medial>", "<final>", "<isolated>")
@@ -92,7 +92,10 @@ def canonical(text: str) -> str:
     if text.isascii():
         return text
     text = _SEGMENT.sub(_segment, text)
-    return _WORD.sub(_word, text) if _FOREIGN.search(text) else text
+    if _FOREIGN.search(text):
+        text = _WORD.sub(_word, text)
+    # a sign taken away or changed may leave a letter before a mark
+    return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
 
 @F.pandas_udf(StringType())
