@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lavra.functions import dims
 from lavra.functions.matching import plain_column
+from lavra.session import cut
 
 K1, B = 1.5, 0.75
 
@@ -21,42 +22,42 @@ def normalised(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)), " ")
 
 
-def phrase_in(haystack: Column, needle: Column) -> Column:
-    """Whole-phrase containment in normalised text."""
-    return F.concat(F.lit(" "), haystack, F.lit(" ")).contains(F.concat(F.lit(" "), needle, F.lit(" ")))
+def padded(norm: Column) -> Column:
+    """Normalised text with a space at either end, so that ``contains`` meets whole phrases only."""
+    return F.concat(F.lit(" "), norm, F.lit(" "))
 
 
 def prepare(clauses: DataFrame) -> DataFrame:
-    """Distinct clauses with normalised text and title."""
-    return clauses.select("document_id", "clause_id", "title", "category", "page_start", "page_end", "text").distinct().select(
-        "document_id", "clause_id", "page_start", "page_end", normalised(F.col("text")).alias("norm_text"),
-        normalised(F.coalesce("title", F.lit(""))).alias("norm_title"), F.coalesce("title", F.lit("")).alias("title"), "text",
+    """Distinct clauses as every step needs them: normalised text and title, length in words, contents-line flag.
+
+    The texts are normalised once and kept in the shared folder; all statistics read them there.
+    """
+    norm = clauses.select("document_id", "clause_id", "title", "page_start", "page_end", "text").distinct().select(
+        "document_id", "clause_id", "page_start", "page_end", normalised(F.coalesce("text", F.lit(""))).alias("norm_text"),
+        normalised(F.coalesce("title", F.lit(""))).alias("norm_title"), F.coalesce(F.col("text").rlike(r"\.{3,}\s*\d+"), F.lit(False)).alias("toc"),
     )
+    return cut(norm.withColumn("length", F.when(F.col("norm_text") == "", 0).otherwise(F.size(F.split("norm_text", " ")))))
 
 
-def postings(prepared: DataFrame) -> DataFrame:
-    """(document_id, clause_id, term, tf)."""
-    words = F.explode(F.split("norm_text", " ")).alias("term")
-    return prepared.where("norm_text <> ''").select("document_id", "clause_id", words).groupBy("document_id", "clause_id", "term").agg(F.count("*").alias("tf"))
+def postings(prepared: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(document_id, clause_id, term, tf); with ``wanted``, of those terms only, reduced before the shuffle."""
+    words = prepared.where("norm_text <> ''").select("document_id", "clause_id", F.explode(F.split("norm_text", " ")).alias("term"))
+    if wanted is not None:
+        words = words.join(F.broadcast(wanted), "term", "left_semi")
+    return words.groupBy("document_id", "clause_id", "term").agg(F.count("*").alias("tf"))
 
 
 def corpus_statistics(prepared: DataFrame) -> DataFrame:
     """Per document: number of clauses and their mean length in words (1 where all are empty)."""
-    length = F.when(F.col("norm_text") == "", 0).otherwise(F.size(F.split("norm_text", " ")))
-    mean = F.avg(length)
+    mean = F.avg("length")
     return prepared.groupBy("document_id").agg(F.count("*").alias("n_clauses"), F.when(mean == 0, 1.0).otherwise(mean).alias("mean_length"))
 
 
-def lengths(prepared: DataFrame) -> DataFrame:
-    return prepared.select("document_id", "clause_id", F.when(F.col("norm_text") == "", 0).otherwise(F.size(F.split("norm_text", " "))).alias("length"))
-
-
 def bm25(prepared: DataFrame) -> DataFrame:
     """(document_id, clause_id, field_name, bm25, overlap, n_terms) of clauses that hold a query term of the field."""
     spark = prepared.sparkSession
     terms = F.broadcast(dims.terms(spark))
-    wanted = F.broadcast(dims.terms(spark).select("term").distinct())
-    hits = postings(prepared).join(wanted, "term", "left_semi")
+    hits = postings(prepared, dims.terms(spark).select("term").distinct())
     df = hits.groupBy("document_id", "term").agg(F.count("*").alias("df"))
     stats = corpus_statistics(prepared)
     idf = F.log1p((F.col("n_clauses") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -64,7 +65,7 @@ def bm25(prepared: DataFrame) -> DataFrame:
     return (
         hits.join(df, ["document_id", "term"])
         .join(stats, "document_id")
-        .join(lengths(prepared), ["document_id", "clause_id"])
+        .join(prepared.select("document_id", "clause_id", "length"), ["document_id", "clause_id"])
         .withColumn("w", weight)
         .join(terms, "term")
         .groupBy("document_id", "clause_id", "field_name", "n_terms")
@@ -75,13 +76,14 @@ def bm25(prepared: DataFrame) -> DataFrame:
 def phrase_hits(prepared: DataFrame) -> DataFrame:
     """(document_id, clause_id, field_name, n_hits, n_headings): phrases of the field in text and title."""
     rows = dims.alias_rows()
-    table = F.array(*[F.struct(F.lit(f).alias("field_name"), F.lit(a).alias("alias")) for f, a, _ in rows])
-    met = F.filter(table, lambda x: phrase_in(F.col("norm_text"), x["alias"]) | phrase_in(F.col("norm_title"), x["alias"]))
-    each = prepared.select("document_id", "clause_id", "norm_text", "norm_title", F.explode(met).alias("a"))
-    return each.groupBy("document_id", "clause_id", F.col("a.field_name").alias("field_name")).agg(
-        F.count_if(phrase_in(F.col("norm_text"), F.col("a.alias"))).alias("n_hits"),
-        F.count_if(phrase_in(F.col("norm_title"), F.col("a.alias"))).alias("n_headings"),
+    table = F.array(*[F.struct(F.lit(f).alias("field_name"), F.lit(f" {a} ").alias("alias")) for f, a, _ in rows])
+    text, title = F.col("_text"), F.col("_title")
+    marked = F.transform(table, lambda x: F.struct(x["field_name"].alias("field_name"), F.contains(text, x["alias"]).cast("int").alias("h"), F.contains(title, x["alias"]).cast("int").alias("t")))
+    found = F.filter(marked, lambda x: x["h"] + x["t"] > 0)
+    each = prepared.select("document_id", "clause_id", padded(F.col("norm_text")).alias("_text"), padded(F.col("norm_title")).alias("_title")).select(
+        "document_id", "clause_id", F.explode(found).alias("a")
     )
+    return each.groupBy("document_id", "clause_id", F.col("a.field_name").alias("field_name")).agg(F.sum("a.h").alias("n_hits"), F.sum("a.t").alias("n_headings"))
 
 
 def repeated_titles(prepared: DataFrame, pages: DataFrame) -> DataFrame:
@@ -101,7 +103,7 @@ def rank_fields(prepared: DataFrame, pages: DataFrame) -> DataFrame:
     key = ["document_id", "clause_id", "field_name"]
     merged = bm25(prepared).join(phrase_hits(prepared), key, "full_outer")
     running = repeated_titles(prepared, pages).withColumn("running", F.lit(True))
-    base = prepared.select("document_id", "clause_id", "page_start", "page_end", "norm_title", F.col("text").rlike(r"\.{3,}\s*\d+").alias("toc")).join(
+    base = prepared.select("document_id", "clause_id", "page_start", "page_end", "norm_title", "toc").join(
         running, ["document_id", "norm_title"], "left"
     )
     zero = lambda c: F.coalesce(c, F.lit(0))
