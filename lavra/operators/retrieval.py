@@ -155,3 +155,36 @@ def cap_round_robin(selected: DataFrame, cap: int) -> DataFrame:
     first = selected.join(dim, "field_name").groupBy("document_id", "group_id", "clause_id").agg(F.min(F.struct("rank", "field_order")).alias("turn"))
     order = Window.partitionBy("document_id", "group_id").orderBy("turn.rank", "turn.field_order", "clause_id")
     return first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap).select("document_id", "group_id", "clause_id", "place")
+
+
+def sections(prepared: DataFrame, running: DataFrame) -> DataFrame:
+    """(document_id, clause_id, section, page_start, page_end): running number of the major, not repeated titles."""
+    marked = prepared.join(running.withColumn("running", F.lit(True)), ["document_id", "norm_title"], "left")
+    major = F.col("norm_title").rlike(r"^[0-9]{1,2} [^0-9]") & F.col("running").isNull()
+    order = Window.partitionBy("document_id").orderBy("page_start", "clause_id").rowsBetween(Window.unboundedPreceding, 0)
+    return marked.select("document_id", "clause_id", "page_start", "page_end", F.sum(major.cast("int")).over(order).alias("section"))
+
+
+def section_expansion(selected: DataFrame, sections_: DataFrame, max_pages: int = 8) -> DataFrame:
+    """(document_id, field_name, clause_id) of all clauses in sections of selected ones that span few enough pages."""
+    spans = sections_.select("document_id", "section", F.explode(F.sequence("page_start", "page_end")).alias("page")).groupBy("document_id", "section").agg(F.countDistinct("page").alias("pages"))
+    small = sections_.join(spans.where(F.col("pages") <= max_pages), ["document_id", "section"]).select("document_id", "section", "clause_id")
+    chosen = selected.select("document_id", "field_name", "clause_id").join(sections_.select("document_id", "clause_id", "section"), ["document_id", "clause_id"])
+    return chosen.select("document_id", "field_name", "section").distinct().join(small, ["document_id", "section"]).select("document_id", "field_name", "clause_id").distinct()
+
+
+def diagnostics(ranked: DataFrame, documents: DataFrame, limit: int = 2) -> DataFrame:
+    """Per document and field: counts, status and whether the quota left candidates out."""
+    chosen = select_quota(ranked, limit).select("document_id", "field_name", "clause_id", F.lit(1).alias("chosen"))
+    counts = (
+        ranked.join(chosen, ["document_id", "field_name", "clause_id"], "left")
+        .groupBy("document_id", "field_name")
+        .agg(F.count("*").alias("n_candidates"), F.count("chosen").alias("n_selected"))
+    )
+    # every document beside the fixed list of fields
+    each = documents.withColumn("field_name", F.explode(F.array(*[F.lit(f) for f in dims.ALIASES])))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
+    return each.join(counts, ["document_id", "field_name"], "left").select(
+        "document_id", "field_name", zero("n_candidates").alias("n_candidates"), zero("n_selected").alias("n_selected"),
+        F.when(zero("n_selected") > 0, "CANDIDATES").otherwise("NOT_RETRIEVED").alias("status"), (zero("n_candidates") > zero("n_selected")).alias("limited"),
+    )

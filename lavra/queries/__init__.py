@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lavra.queries import quality, relational, retrieval
+from lavra.queries import dataflow, quality, relational, retrieval
 
-_MODULES = (quality, relational, retrieval)
+_MODULES = (quality, relational, dataflow, retrieval)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
