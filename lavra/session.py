@@ -49,3 +49,13 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """
     kept = cut(df)
     return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows spread by ``columns`` over all cores, for frames of few bytes and much work a row.
+
+    The explicit number keeps AQE from gathering them into one task.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *columns)
