@@ -38,6 +38,9 @@ _MARKS = re.compile(r"(?:\s+[*†‡¹²³]+)+\Z|(?<=[.!?])[*†‡]+\Z")
 _OPENERS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»"}
 _BROKEN = re.compile(r"(?:�|&[#\w]{0,8}|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|%[0-9a-fA-F]|</?[a-zA-Z][^<>\n]{0,200}|Ã)\Z")
 
+#: Characters at the end of a text in which signs of an ending are sought.
+TAIL = 1_000
+
 _EVIDENCE = StructType([StructField("state", StringType()), StructField("opener", StringType())])
 
 
@@ -63,16 +66,18 @@ def state(text: str | None) -> tuple[str, str]:
     body = (text or "").strip()
     if not body:
         return "blank", ""
-    body = _MARKS.sub("", body).rstrip() or body
-    if _BROKEN.search(body):
+    # signs at the end are sought at the end only; brackets and sentences in the whole last paragraph
+    tail = _MARKS.sub("", body[-TAIL:]).rstrip()
+    body = body[:-TAIL] + tail or body
+    if _BROKEN.search(tail):
         return "cut", ""
-    rest = _OMISSION.sub("", body)
-    if rest != body and rest and not (_FINISHED.search(rest) or rest[-1] in "“"):
+    rest = _OMISSION.sub("", tail)
+    if rest != tail and rest and not (_FINISHED.search(rest) or rest[-1] in "“"):
         return "cut", ""
     last = body.rsplit("\n", 1)[-1].strip()
-    if _FINISHED.search(body):
+    if _FINISHED.search(tail):
         sentence = _WITHIN.split(last)[-1]
-        if _ABBREVIATION.search(body) or _CUT_NUMBER.search(body):
+        if _ABBREVIATION.search(tail) or _CUT_NUMBER.search(tail):
             return "cut", ""
         return ("cut" if open_brackets(sentence) and open_brackets(last) else "complete"), ""
     if body[-1] in ",-‐¬(“«[{/&":
@@ -82,7 +87,7 @@ def state(text: str | None) -> tuple[str, str]:
         return ("cut" if len(last) > 60 and body[-1] != ";" else "complete"), ""
     if body[-1] == ";" or _WITHIN.search(last) or open_brackets(last):
         return "cut", ""
-    if _TABLE.search(last):
+    if _TABLE.search(last[-TAIL:]):
         return "complete", ""
     if last[0].islower():
         return "cut", ""
