@@ -168,7 +168,7 @@ BODY = "O segurado avisará a seguradora. A perda supere a franquia{0}"
     [
         (BODY.format("."), "complete"), (BODY.format(".”"), "complete"), (BODY.format("!)"), "complete"), (BODY.format(". *"), "complete"), (BODY.format(", e"), "cut"),
         (BODY.format("..."), "cut"), (BODY.format(" [...]"), "cut"), (BODY.format(" (cont"), "cut"), (BODY.format("�"), "cut"), (BODY.format(" (§ 2º, 1ª"), "cut"),
-        (BODY.format(".\n- foro"), "complete"), (BODY.format("."), "complete"), ("", "blank"), (None, "blank"), (" \n ", "blank"), (BODY.format(".\nAnexo II"), "open"), (BODY.format(".\nO segu"), "open"),
+        (BODY.format(".\n- foro"), "complete"), (BODY.format("." + " " * 200_000 + "x."), "complete"), ("", "blank"), (None, "blank"), (" \n ", "blank"), (BODY.format(".\nAnexo II"), "open"), (BODY.format(".\nO segu"), "open"),
     ],
 )
 def test_state(text, state):
@@ -189,11 +189,11 @@ def test_truncated(spark):
 def test_names(spark):
     rows = [
         "Companhia de Seguros Araponga S.A.", "CIA. DE SEGUROS ARAPONGA SA", "Araponga, Cia. de Seguros", "Cia Seg. Arapgna S/A", "Araponga Seguros Gerais S.A.", "Araponga Seg. Gerais S/A",
-        "Araponga Vida e Prev. S.A.", "Araponga Ressegurad. BR S.A.", None, "nao_localizado", "", "Ltda", LONG[:5000],
+        "Araponga Vida e Prev. S.A.", "Araponga Ressegurad. BR S.A.", None, "nao_localizado", "", "Ltda", LONG,
     ]
     holders = [
         "Energia Potrarçal Trenavasco S.A.", "POTRARCAL TRENAVASCO", "Energ. Potrarçl Trenavasco Sociedade Anônima", "Metalúrgica Potrarçal Trenavasco Ltda.", "Patrícia Fobembó Mavazzini", "Paty Fobembó Mavazzini",
-        "Mavazzini, P. Fobembó", "Eduardo Fobembó Mavazzini", "E. Fobembó Mavazzini", None, "nao_localizado", "", "x",
+        "Mavazzini, P. Fobembó", "Eduardo Fobembó Mavazzini", "E. Fobembó Mavazzini", None, "nao_localizado", "", f"{LONG} {LONG[:-1]}",
     ]
     table = [(k, a, b, 1) for k, (a, b) in enumerate(zip(rows, holders))] + [(100 + k, rows[0], holders[0], 1) for k in range(5)]
     df = spark.createDataFrame(table, "extraction_id long, seguradora string, tomador_segurado string, entity int")
