@@ -30,7 +30,7 @@ from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from lavra.llm.lookalike import SUSPECT, canonical, canonical_column
 from lavra.session import cut
@@ -330,6 +330,23 @@ def mark_page(text: str, number: int | None, misread: Judge) -> list[tuple[int,
     return out
 
 
+def page_words(text: str) -> set[str]:
+    """Words in lower case that ``mark_page`` may look up: those between white space and the joined form of broken ones."""
+    found = breaks(text)
+    tokens = set((_split_off(text, [k for s, g, b, e in found for k in ((s, g), (b, e))]) if found else text).split())
+    for start, sign, begin, end in found:
+        tokens |= {text[start:sign] + text[begin:end], text[begin:end]}
+    parts = {p.lower() for t in tokens for w in _TOKEN.findall(t) for p in w.split("-")}
+    return {p for p in parts if 1 < len(p) <= MAX_WORD and not p.isdigit()}
+
+
+def _keyed_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        texts = (canonical(t) if _SUSPECT.search(t) else t for t in batch["text"])
+        rows = [(key, word) for key, text in zip(batch["_key"], texts) for word in page_words(text)]
+        yield pd.DataFrame(rows, columns=["_key", "word"]).astype({"_key": "int64"})
+
+
 _FIRST_WORD = re.compile(r"\s*([^\W\d_A-ZÀ-Ý]+)(?![\w.])")
 
 
@@ -352,10 +369,11 @@ def marked(text: DataFrame, fixes: DataFrame, max_table: int = MAX_TABLE) -> Dat
     """Marks of all lines; a correction table beyond ``max_table`` entries meets the pages' words in a join instead."""
     spark, small = text.sparkSession, fixes.limit(max_table + 1).count() <= max_table
     if not small:
-        words = F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+', 0)"))
-        own = text.select("page_id", "document_id", "page_number", F.explode(words).alias("word")).join(fixes, "word")
-        found = own.groupBy("page_id", "document_id", "page_number").agg(F.map_from_entries(F.collect_set(F.struct("word", "correct"))).alias("bad"))
-        text = text.join(found, ["page_id", "document_id", "page_number"], "left")
+        # a key that is never null; pages that share one get the words of both, which changes nothing
+        text = text.withColumn("_key", F.xxhash64("page_id", "document_id", "page_number", "text"))
+        own = text.select("_key", "text").mapInPandas(_keyed_words, "_key bigint, word string").join(fixes.select("word", "correct"), "word")
+        found = own.groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("word", "correct"))).alias("bad"))
+        text = text.join(found, "_key", "left").drop("_key")
     else:
         text = text.withColumn("bad", F.lit(None).cast("map<string,string>"))
     table = {r[0]: r[1] for r in fixes.select("word", "correct").toLocalIterator()} if small else {}
@@ -405,17 +423,18 @@ def repaired_pages(pages: DataFrame, found: DataFrame, fixes: DataFrame, repeate
     misread = found.where("kind = 'misread'").select("page_id").distinct()
     own = Window.partitionBy("page_id").orderBy(F.col("text").asc_nulls_last())
     first = pages.select("page_id", "document_id", "page_number", "text").withColumn("_k", F.row_number().over(own)).where("_k = 1").drop("_k")
-    # read twice below: kept once, in canonical form
-    base = cut(first.withColumn("text", canonical_column("text")))
-    words = F.array_distinct(F.expr(r"regexp_extract_all(lower(replace(text, '\n', ' ')), '[\\p{L}\\p{N}]+', 0)"))
-    wrong = base.join(misread, "page_id", "left_semi").select("page_id", F.explode(words).alias("word")).join(fixes.select("word", "correct"), "word")
+    base = first.withColumn("text", canonical_column("text"))
+    joined = base.join(per_page, "page_id", "left").join(hyphens, "page_id", "left")
+    # read twice below: kept once.  Words are corrected as they stand after broken ones are joined.
+    whole = cut(joined.select("page_id", "document_id", "page_number", _repair_udf("text", "drop", "hyphens").alias("text")))
+    wrong = whole.join(misread, "page_id", "left_semi").select("page_id", F.explode(_words_udf("text")).alias("word")).join(fixes.select("word", "correct"), "word")
     table = wrong.groupBy("page_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "correct"))).alias("fixes"))
-    joined = base.join(per_page, "page_id", "left").join(hyphens, "page_id", "left").join(table, "page_id", "left")
-    return joined.select("page_id", "document_id", "page_number", _repair_udf("text", "drop", "hyphens", "fixes").alias("text"))
+    text = F.when(F.col("fixes").isNull(), F.col("text")).otherwise(_correct_udf("text", "fixes"))
+    return whole.join(table, "page_id", "left").select("page_id", "document_id", "page_number", text.alias("text"))
 
 
-def repair(text: str | None, drop: set[int], hyphens: set[int], fixes: dict[str, str]) -> str | None:
-    """One page's readable text; see ``repaired_pages``."""
+def repair(text: str | None, drop: set[int], hyphens: set[int]) -> str | None:
+    """One page's readable text before its words are corrected; see ``repaired_pages``."""
     if text is None:
         return None
     paragraphs: list[str] = []
@@ -439,6 +458,14 @@ def repair(text: str | None, drop: set[int], hyphens: set[int], fixes: dict[str,
             current = current[:-1]
     if current:
         paragraphs.append(current)
+    return "\n\n".join(paragraphs)
+
+
+_WORD = re.compile(r"[^\W_]+")
+
+
+def correct(text: str, fixes: dict[str, str]) -> str:
+    """A text with its misread words corrected, in the case they are written in."""
 
     def fix(m: re.Match) -> str:
         word = m.group()
@@ -447,11 +474,20 @@ def repair(text: str | None, drop: set[int], hyphens: set[int], fixes: dict[str,
             return word
         return good.upper() if word.isupper() and len(word) > 1 else good.capitalize() if word[0].isupper() else good
 
-    joined = "\n\n".join(paragraphs)
-    return re.sub(r"[^\W_]+", fix, joined) if fixes else joined
+    return _WORD.sub(fix, text)
 
 
 @F.pandas_udf(StringType())
-def _repair_udf(texts: pd.Series, drops: pd.Series, hyphens: pd.Series, fixes: pd.Series) -> pd.Series:
+def _repair_udf(texts: pd.Series, drops: pd.Series, hyphens: pd.Series) -> pd.Series:
     some = lambda x: set() if x is None else {int(v) for v in x}
-    return pd.Series([repair(t, some(d), some(h), dict(f) if f else {}) for t, d, h, f in zip(texts, drops, hyphens, fixes)])
+    return pd.Series([repair(t, some(d), some(h)) for t, d, h in zip(texts, drops, hyphens)])
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _words_udf(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda text: [] if text is None else sorted({w.lower() for w in _WORD.findall(text)}))
+
+
+@F.pandas_udf(StringType())
+def _correct_udf(texts: pd.Series, fixes: pd.Series) -> pd.Series:
+    return pd.Series([correct(t, dict(f)) if f else t for t, f in zip(texts, fixes)])

@@ -226,6 +226,25 @@ def test_noise(spark):
     assert text[200] is None and scan_noise.noise(pages.limit(0)).count() == 0
 
 
+def test_a_large_correction_table_finds_the_same(spark):
+    clean = "O administrador avisará a seguradora sobre a reclamação recebida."
+    rows = [(k, f"c{k}", 1, clean, "k") for k in range(60)]
+    broken, disguised = "avisará sobre a reclar-\nnação recebida, e\nmais nada.", "avisará sobre a recla\u200brnação recebida."
+    rows += [(100, "d", 1, broken, "k"), (101, "d", 2, disguised, "k"), (102, None, 3, "sobre a reclarnação, e", "k"), (103, "d", None, "sobre a reclarnação, e", "k")]
+    pages = spark.createDataFrame(rows, "page_id long, document_id string, page_number int, text string, kind string")
+    got = {(r.page_id, r.line_no, r.kind) for r in scan_noise.noise(pages).collect()}
+    assert {(101, 1, "misread"), (102, 1, "misread"), (103, 1, "misread")} < got and (100, "misread") in {(p, kind) for p, _, kind in got}
+    assert {(r.page_id, r.line_no, r.kind) for r in scan_noise.noise(pages, max_table=0).collect()} == got
+
+
+def test_a_broken_misread_word_is_corrected_once_joined(spark):
+    clean = "O administrador avisará a seguradora sobre a reclamação recebida."
+    rows = [(k, f"c{k}", 1, clean, "k") for k in range(60)] + [(100, "d", 1, "avisará sobre a reclar-\nnação recebida, e\nmais nada.", "k"), (101, "d", 2, "sobre a reclarnação, e", "k")]
+    pages = spark.createDataFrame(rows, "page_id long, document_id string, page_number int, text string, kind string")
+    text = {r.page_id: r.text for r in scan_noise.repaired_pages(pages, *scan_noise.noise_and_corrections(pages)).collect()}
+    assert text[100] == "avisará sobre a reclamação recebida, e mais nada." and text[0] == clean
+
+
 def test_corrections_equal_brute_force(spark):
     words = [("segurado", 500), ("scgurado", 3), ("seguracio", 3), ("tornador", 4), ("tomador", 300), ("tomada", 200), ("limite", 90), ("lirnite", 12), ("xyz", 1), ("aclquirlr", 1), ("adquirir", 50)]
     df = spark.createDataFrame(words, "word string, n long")
