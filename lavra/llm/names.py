@@ -10,8 +10,10 @@ unit with the highest posterior
     log(rows of the candidate) - log-cost of the typing errors - log-cost of an abbreviated descriptor
 
 provided it is written at least as often.  Candidates meet through deletion
-keys of their proper words; within a key only the most frequent unit of each
-descriptor is a candidate, so a hot key does not square.  Chains of
+keys of their proper words, which names within ``MAX_ERRORS`` share, and tags of
+their descriptors.  All units of a key are candidates: the most frequent one
+gives each unit a lower bound of its posterior, and then only those meet that
+are frequent enough to reach it, so a hot key does not square.  Chains of
 attachments end in one canonical unit by pointer jumping.
 
 Descriptors are learned: words in a fixed share of all distinct spellings of
@@ -195,6 +197,8 @@ def compatible(a: str, kind_a: str, b: str, kind_b: str, activities: frozenset[s
 
 _READ = StructType([StructField("proper", ArrayType(StringType())), StructField("descriptor", StringType()), StructField("kind", StringType())])
 
+_TAGS = StructType([StructField("offered", ArrayType(StringType())), StructField("asked", ArrayType(StringType()))])
+
 
 def _reader(activities: frozenset[str], given: frozenset[str]):
     @F.pandas_udf(_READ)
@@ -238,28 +242,60 @@ def learn_descriptors(names: DataFrame, share: float = SHARE, least: int = LEAST
     return frozenset(activities | set(ACTIVITIES.split())), frozenset((given | set(GIVEN.split())) - activities)
 
 
+def _deletions(word: str) -> set[str]:
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} if len(word) <= MAX_WORD else {word}
+
+
+def _twice(word: str) -> set[str]:
+    return {x for d in _deletions(word) for x in _deletions(d)} if len(word) <= MAX_WORD else {word}
+
+
+def name_keys(words: list[str]) -> set[str]:
+    """Deletion keys: two names of as many words share one where they differ by two errors at most, in one word or two."""
+    n = len(words)
+    if n < 2:
+        return {x for w in words for x in _twice(w)}
+    if n == 2:
+        a, b = words
+        keys = {"|".join(sorted((x, y))) for x in _deletions(a) for y in _deletions(b)}
+        return keys | {f"={a}|{x}" for x in _twice(b)} | {f"={b}|{x}" for x in _twice(a)}
+    if n > 5:  # of three parts one has no error
+        at = [0, n // 3, 2 * n // 3, n]
+        return {f"{n}:{k}|{' '.join(words[at[k] : at[k + 1]])}" for k in range(3)}
+    keys = set()
+    for i in range(n):
+        keys |= {f"{i}|{x}|{' '.join(words[:i] + words[i + 1 :])}" for x in _twice(words[i])}
+        for j in range(i + 1, n):
+            rest = " ".join(words[:i] + words[i + 1 : j] + words[j + 1 :])
+            keys |= {f"{i},{j}|{x}|{y}|{rest}" for x in _deletions(words[i]) for y in _deletions(words[j])}
+    return keys
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def _keys(propers: pd.Series) -> pd.Series:
-    """Deletion keys: two names within one error a word share one; so do names with one equal word and like beginnings."""
+    return propers.map(lambda proper: sorted(name_keys(proper.split(" "))))
 
-    def deletions(word: str) -> set[str]:
-        return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} if 2 < len(word) <= MAX_WORD else {word}
 
-    def one(proper):
-        words = list(proper)
-        if not words:
-            return []
-        if len(words) == 1:
-            w = words[0]
-            # two errors: deletions of deletions
-            return sorted({x for d in deletions(w) for x in deletions(d)})
-        a, b = words[0], words[-1]
-        middle = " ".join(words[1:-1])
-        keys = {"|".join([*sorted((x, y)), middle]) for x in deletions(a) for y in deletions(b)}
-        keys |= {f"={a}|{b[:1]}", f"={b}|{a[:1]}", f"={a}|{b[-3:]}", f"={b}|{a[-3:]}"}
-        return sorted(keys)
+def tags(descriptor: str, kind: str, activities: frozenset[str]) -> tuple[list[str], list[str]]:
+    """(offered, asked): a unit may be attached only where one of the tags it asks for is offered; see ``compatible``.
 
-    return propers.map(one)
+    Tags of equal descriptors begin with an equals sign.
+    """
+    words, same = set(descriptor.split()), f"={kind}:{descriptor}"
+    if kind == "initial":
+        return [], [f"~{descriptor[0]}"]
+    if kind == "none":
+        return [], ["!"]
+    offered = [same, *(f"<{w}" for w in words if len(words) > 1), *{f"~{w[0]}" for w in words - activities}]
+    return offered + ["!"] * (words <= activities or not activities), [same, f"<{min(words)}"]
+
+
+def _tagger(activities: frozenset[str]):
+    @F.pandas_udf(_TAGS)
+    def tag(descriptors: pd.Series, kinds: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([tags(d, k, activities) for d, k in zip(descriptors, kinds)], columns=["offered", "asked"])
+
+    return tag
 
 
 def _costs(activities: frozenset[str]):
@@ -282,6 +318,39 @@ def _costs(activities: frozenset[str]):
     return cost
 
 
+def attachments(units: DataFrame, activities: frozenset[str]) -> DataFrame:
+    """(field_name, unit, to): each unit with the one of highest posterior among all that share a key with it, if any does."""
+    tagged = spread(units, "unit").withColumn("tags", _tagger(activities)("descriptor", "kind")).withColumn("key", F.explode(_keys("proper")))
+    each = lambda c: tagged.select("field_name", "unit", "n", "key", F.explode(f"tags.{c}").alias("tag")).withColumn("h", F.xxhash64("key", "tag"))
+    offered = each("offered").select("field_name", "h", F.col("unit").alias("c_unit"), F.col("n").alias("c_n"))
+    # units of equal descriptors differ by an error, others at least in their descriptors
+    asked = each("asked").select("field_name", "h", "unit", "n", F.when(F.col("tag").startswith("="), ERROR_COST).otherwise(1.0).alias("least"))
+    tops = offered.groupBy("field_name", "h").agg(F.min_by("c_unit", F.struct(-F.col("c_n"), "c_unit")).alias("top"), F.max("c_n").alias("top_n"), F.count("*").alias("k"))
+    # keys are many more than their small tables let Spark expect: hints keep it from a broadcast
+    faced = cut(asked.join(tops.hint("merge"), ["field_name", "h"]).where("k > 1 or top <> unit"))
+    first = cut(_scored(faced.select("field_name", "unit", "n", F.col("top").alias("c_unit"), F.col("top_n").alias("c_n")), activities))
+    bounds = first.groupBy("field_name", "unit").agg(F.max("posterior").alias("bound"))
+    # candidates less frequent than this can't reach the bound, or are no candidates of an equal descriptor
+    reach = F.greatest(F.when(F.col("least") == ERROR_COST, F.col("n")).otherwise(F.lit(1)).cast("double"), F.coalesce(F.exp(F.col("bound") + F.col("least")) * (1 - 1e-9), F.lit(1.0)))
+    open_ = faced.where("k > 1").join(bounds.hint("merge"), ["field_name", "unit"], "left").withColumn("reach", F.floor(reach)).where("reach <= top_n")
+    level = lambda c: F.length(F.bin(F.col(c)))
+    steps = open_.select("field_name", "h", "unit", "n", "reach", F.explode(F.sequence(level("reach"), level("top_n"))).alias("level"))
+    met = steps.join(offered.withColumn("level", level("c_n")).hint("merge"), ["field_name", "h", "level"]).where("c_n >= reach")
+    best = F.struct(-F.col("posterior"), -F.col("c_n"), "c_unit")
+    return first.unionByName(_scored(met, activities)).groupBy("field_name", "unit").agg(F.min_by("c_unit", best).alias("to"))
+
+
+def _scored(met: DataFrame, activities: frozenset[str]) -> DataFrame:
+    """(field_name, unit, c_unit, c_n, posterior) of the pairs of units and candidates that may be one name."""
+    part = lambda c, k: F.split(c, r"\|").getItem(k)
+    older = (F.col("c_n") > F.col("n")) | ((F.col("c_n") == F.col("n")) & (F.col("c_unit") < F.col("unit")))
+    differ = (part("unit", 1) != part("c_unit", 1)) | (part("unit", 2) != part("c_unit", 2))
+    pairs = met.select("field_name", "unit", "n", "c_unit", "c_n").where((F.col("unit") != F.col("c_unit")) & (older | differ)).distinct()
+    cost = _costs(activities)(*(part(c, k) for c in ("unit", "c_unit") for k in range(3)))
+    found = pairs.withColumn("cost", cost).where(F.col("cost").isNotNull() & ~F.isnan("cost"))
+    return found.select("field_name", "unit", "c_unit", "c_n", (F.log("c_n") - F.col("cost")).alias("posterior"))
+
+
 def link_names(names: DataFrame) -> DataFrame:
     """(field_name, name, entity): each spelling with the canonical unit it is attached to."""
     names = cut(names)
@@ -290,22 +359,7 @@ def link_names(names: DataFrame) -> DataFrame:
     # a name without a proper word is its own entity
     read = cut(read.withColumn("unit", F.when(F.col("proper") == "", F.concat(F.lit("?"), "name")).otherwise(F.concat_ws("|", "proper", "descriptor", "kind"))))
     units = read.where("proper <> ''").groupBy("field_name", "unit", "proper", "descriptor", "kind").agg(F.sum("n").alias("n"))
-    keyed = spread(units, "unit").withColumn("key", F.explode(_keys(F.split("proper", " "))))
-    top = Window.partitionBy("field_name", "key", "descriptor", "kind").orderBy(F.desc("n"), "unit")
-    best = keyed.where("kind = 'full'").withColumn("rank", F.row_number().over(top)).where("rank = 1")
-    candidates = best.select("field_name", "key", F.col("unit").alias("c_unit"), F.col("proper").alias("c_proper"), F.col("descriptor").alias("c_descriptor"), F.col("kind").alias("c_kind"), F.col("n").alias("c_n"))
-    older = (F.col("c_n") > F.col("n")) | ((F.col("c_n") == F.col("n")) & (F.col("c_unit") < F.col("unit"))) | (F.col("kind") != "full") | (F.col("descriptor") != F.col("c_descriptor"))
-    met = (
-        keyed.join(candidates, ["field_name", "key"])
-        .where((F.col("unit") != F.col("c_unit")) & older)
-        .select("field_name", "unit", "proper", "descriptor", "kind", "c_unit", "c_proper", "c_descriptor", "c_kind", "c_n")
-        .distinct()
-        .withColumn("cost", _costs(activities)("proper", "descriptor", "kind", "c_proper", "c_descriptor", "c_kind"))
-        .where(F.col("cost").isNotNull() & ~F.isnan("cost"))
-    )
-    posterior = F.log("c_n") - F.col("cost")
-    pointer = met.groupBy("field_name", "unit").agg(F.max_by("c_unit", F.struct(posterior.alias("p"), F.col("c_n"))).alias("to"))
-    links = cut(pointer)
+    links = cut(attachments(units, activities))
     for _ in range(3):  # chains of up to eight attachments
         next_ = links.select("field_name", F.col("unit").alias("to"), F.col("to").alias("far"))
         links = links.join(next_, ["field_name", "to"], "left").select("field_name", "unit", F.coalesce("far", "to").alias("to"))

@@ -206,6 +206,31 @@ def test_names(spark):
     assert names.variant_pairs(names.link_names(names.spellings(df.limit(0)))).count() == 0
 
 
+def _entities(spark, holders, insurers=()):
+    rows = [(k, None, h, 1) for k, h in enumerate(holders)] + [(1000 + k, i, None, 1) for k, i in enumerate(insurers)]
+    df = spark.createDataFrame(rows, "extraction_id long, seguradora string, tomador_segurado string, entity int")
+    return {r.name: r.entity for r in names.link_names(names.spellings(df)).collect()}
+
+
+def test_a_more_frequent_name_does_not_hide_the_true_one(spark):
+    often, true, typo = "Eduardo Fobembó Mavazzini", "Eduardo Fobembó Montegrano", "Eduardo Fobembó Montegxaxo"
+    found = _entities(spark, [often] * 10 + [true] * 5 + [typo])
+    assert found[typo] == found[true] != found[often]
+
+
+def test_names_within_two_errors_share_a_key():
+    rng = random.Random(3)
+    for _ in range(600):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(1, 8))]
+        other = list(words)
+        for _ in range(2):
+            k = rng.randrange(len(words))
+            at, w = rng.randrange(len(other[k])), other[k]
+            other[k] = rng.choice([w[:at] + "x" + w[at + 1 :], w[:at] + "x" + w[at:], w[:at] + w[at + 1 :] or "x", w[:at] + w[at : at + 2][::-1] + w[at + 2 :]])
+        if sum(map(names.errors, words, other)) <= 2:
+            assert names.name_keys(words) & names.name_keys(other), (words, other)
+
+
 # --- problem 2
 def test_noise(spark):
     clean = "O ex-administrador avisará a seguradora sobre a reclamação recebida. O administrador aprovará a retenção prevista."
