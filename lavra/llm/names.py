@@ -282,10 +282,8 @@ def tags(descriptor: str, kind: str, activities: frozenset[str]) -> tuple[list[s
     Tags of equal descriptors begin with an equals sign.
     """
     words, same = set(descriptor.split()), f"={kind}:{descriptor}"
-    if kind == "initial":
-        return [], [f"~{descriptor[0]}"]
-    if kind == "none":
-        return [], ["!"]
+    if kind != "full":
+        return [same], [same, f"~{descriptor[0]}" if kind == "initial" else "!"]
     offered = [same, *(f"<{w}" for w in words if len(words) > 1), *{f"~{w[0]}" for w in words - activities}]
     return offered + ["!"] * (words <= activities or not activities), [same, f"<{min(words)}"]
 
@@ -360,10 +358,14 @@ def link_names(names: DataFrame) -> DataFrame:
     read = cut(read.withColumn("unit", F.when(F.col("proper") == "", F.concat(F.lit("?"), "name")).otherwise(F.concat_ws("|", "proper", "descriptor", "kind"))))
     units = read.where("proper <> ''").groupBy("field_name", "unit", "proper", "descriptor", "kind").agg(F.sum("n").alias("n"))
     links = cut(attachments(units, activities))
-    for _ in range(3):  # chains of up to eight attachments
-        next_ = links.select("field_name", F.col("unit").alias("to"), F.col("to").alias("far"))
-        links = links.join(next_, ["field_name", "to"], "left").select("field_name", "unit", F.coalesce("far", "to").alias("to"))
-    return read.join(cut(links), ["field_name", "unit"], "left").select("field_name", "name", "n", F.coalesce("to", "unit").alias("entity"))
+    while True:  # three rounds follow chains of eight attachments, the next three of 64
+        for _ in range(3):
+            next_ = links.select("field_name", F.col("unit").alias("to"), F.col("to").alias("far"))
+            links = links.join(next_, ["field_name", "to"], "left").select("field_name", "unit", F.coalesce("far", "to").alias("to"))
+        links = cut(links)
+        if links.join(links.select("field_name", F.col("unit").alias("to")), ["field_name", "to"], "left_semi").isEmpty():
+            break
+    return read.join(links, ["field_name", "unit"], "left").select("field_name", "name", "n", F.coalesce("to", "unit").alias("entity"))
 
 
 def variant_pairs(linked: DataFrame) -> DataFrame:

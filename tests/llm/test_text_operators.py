@@ -218,6 +218,18 @@ def test_a_more_frequent_name_does_not_hide_the_true_one(spark):
     assert found[typo] == found[true] != found[often]
 
 
+def test_names_without_descriptor_meet_each_other(spark):
+    groups = [("Fobembó Mavazzini", "Fobembó Mavazini"), ("E. Potrarçal Trenavasco", "E. Potrarçl Trenavasco")]
+    insurers = ("Araponga Seguros S.A.", "Arapnga Seguros S.A.")
+    found = _entities(spark, [h for a, b in groups for h in (a, a, b)], [insurers[0], *insurers])
+    assert all(found[a] == found[b] for a, b in [*groups, insurers]) and len(set(found.values())) == 3
+
+
+def test_long_chains_end_in_one_entity(spark):
+    letters = "bcdfghjklmnpqrst"
+    assert len(set(_entities(spark, [f"Energia {'z' * k}{letters[k:]} S.A." for k in range(13)]).values())) == 1
+
+
 def test_names_within_two_errors_share_a_key():
     rng = random.Random(3)
     for _ in range(600):
