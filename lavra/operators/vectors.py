@@ -16,7 +16,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, same: str | None = Non
     """(query_id, vec_id, distance, rank) of the ``k`` nearest vectors of each query.
 
     ``same`` names a column that must be equal (the metadata filter), pushed before scoring as an equi-join.  The query
-    set is broadcast where its counted rows are few, else it joins in blocks by a hash of the query.
+    set is broadcast where its counted rows are few, else the join is left to Spark.
     """
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), *([same] if same else []))
     small = broadcast_if_small(q, 20_000)
