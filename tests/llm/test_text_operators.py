@@ -175,6 +175,34 @@ def test_state(text, state):
     assert truncation.state(text)[0] == state
 
 
+@pytest.mark.parametrize(
+    "text",
+    ['O segurado disse "não vou pagar.', "A lista (ver anexo\ncontinua aqui e termina.", "<p>Texto da cláusula.", "Texto.\n```\nx = 1.", "Um “dois (três” quatro."],
+)
+def test_open_structure_is_cut(text):
+    assert truncation.state(text)[0] == "cut"
+
+
+@pytest.mark.parametrize("text", ['Ele disse "sim" e (não) saiu.', "<p>Texto<br>da cláusula.</p>", "Texto.\n```\nx = (1\n```\nFim.", "a) um item (dois) e três.", 'Um cano de 5" e outro.'])
+def test_closed_structure_is_complete(text):
+    assert truncation.state(text)[0] == "complete"
+
+
+def test_states_take_linear_time():
+    import time
+
+    began = time.time()
+    for text in (f"a{' ' * 400_000}b.", f"a{' ' * 400_000}...x", "[ " * 200_000 + "x", "a | " * 100_000 + "b", '"a ' * 100_000, "* " * 200_000, "." * 400_000 + "x", "- " * 200_000 + "a"):
+        truncation.state(text)
+    assert time.time() - began < 10
+
+
+def test_abbreviations_are_learned(spark):
+    rows = [(k, f"Nos termos do xyz. {k} segue o texto. Ponto final.", "s") for k in range(truncation.STOPS)]
+    df = spark.createDataFrame([*rows, (90, "Vale o disposto no xyz.", "s"), (91, "Vale o disposto no texto.", "s")], "doc_id long, text string, source string")
+    assert [(r.doc_id, r.evidence) for r in truncation.truncated(df).collect()] == [(90, "abbreviation")]
+
+
 def test_truncated(spark):
     rows = [(k, BODY.format("."), "s") for k in range(5)]
     rows += [(10, BODY.format(".\nO segu"), "s"), (11, BODY.format(".\nAnexo II"), "s"), (12, "Anexo IV", "s"), (13, None, None), (14, "", None), (15, BODY.format(" e a"), None), (15, BODY.format(" e a"), None), (16, LONG + ".", "s")]
