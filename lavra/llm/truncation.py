@@ -139,6 +139,8 @@ def state(text: str | None) -> tuple[str, str]:
         if rest and not (_FINISHED.search(rest) or rest[-1] == "“"):
             return "cut", ""
     last = body.rsplit("\n", 1)[-1].strip()
+    if "```" in body or "~~~" in body:  # code is no prose
+        body = "".join(_FENCE.split(body)[::2]).rstrip() or body
     at = max(body.rfind("\n\n"), 0)
     paragraph = body[at:] if at else body
     if _FINISHED.search(body):
