@@ -9,9 +9,11 @@ search may skip; blocks in no pattern skip almost the length of the shortest
 pattern.  Where the shift is zero, the bucket of that block holds the
 candidates, and comparison with the text confirms them.
 
-The automaton is built once on the driver from the evaluation items, whose
-number is that of a held-out set and not of the corpus (``MAX_ITEMS`` guards
-it), and is broadcast.  The corpus is scanned once, without a shuffle.
+The tables are built on the driver from the evaluation items and broadcast.
+Their size is that of a held-out set and not of the corpus; it is measured
+first, and items whose quotes exceed ``BLOCK_CHARS`` characters together are
+searched in blocks below it, one pass over the corpus each, with only one
+block's tables alive at a time.  The corpus is not shuffled.
 
 Defined results: null, empty and blank texts contain nothing; null quotes and
 quotes without a word have no pattern; equal quotes of several items report each.
@@ -23,19 +25,21 @@ import pickle
 import re
 import unicodedata
 from collections import defaultdict
+from functools import reduce
 from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from lavra.llm.lookalike import canonical
+from lavra.session import cut
 
 #: Fixed value of the problem: words in a row that make a leak.
 RUN = 12
 #: Characters of a block; long enough that ordinary text rarely meets a block of a quote.
 BLOCK = 6
-#: Evaluation items that one automaton takes; larger sets are searched in blocks of items.
-MAX_ITEMS = 20_000
+#: Characters of quotes that one pass searches for; more are searched in several passes.
+BLOCK_CHARS = 4_000_000
 
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -91,28 +95,22 @@ class WuManber:
         return found
 
 
-def _search_udf(spark, tables: list[WuManber]):
+def _searching(spark, documents: DataFrame, tables: WuManber) -> tuple[DataFrame, object]:
+    """(doc_id, item_id) of one pass, not distinct, and its broadcast."""
     shared, name = spark.sparkContext.broadcast(pickle.dumps(tables, protocol=5)), uuid4().hex
 
     @F.pandas_udf("array<bigint>")
     def search(texts: pd.Series) -> pd.Series:
         loaded = _loaded(name, shared)
+        return texts.map(lambda text: sorted(loaded.search(fold_words(text))) if text else [])
 
-        def one(text):
-            if not text:
-                return []
-            folded = fold_words(text)
-            return sorted(set().union(*(t.search(folded) for t in loaded)))
+    return documents.select("doc_id", F.explode(search("text")).alias("item_id")), shared
 
-        return texts.map(one)
 
-    return search
+_TABLES: dict[str, WuManber] = {}
 
 
-_TABLES: dict[str, list[WuManber]] = {}
-
-
-def _loaded(name: str, shared) -> list[WuManber]:
+def _loaded(name: str, shared) -> WuManber:
     """The tables, unpickled once in a Python worker."""
     if name not in _TABLES:
         _TABLES.clear()
@@ -120,24 +118,25 @@ def _loaded(name: str, shared) -> list[WuManber]:
     return _TABLES[name]
 
 
-def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, block: int = BLOCK, max_items: int = MAX_ITEMS) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, block: int = BLOCK, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id) of every document that holds a run of words of an item's quote."""
     spark = documents.sparkSession
-    quotes = items.where(F.col("quote").isNotNull()).select(F.col("item_id").cast("bigint"), "quote").distinct()
-    tables, part = [], []
-    for row in quotes.toLocalIterator():
-        part.append((row[0], row[1]))
-        if len(part) == max_items:
-            tables.append(WuManber(part, run, block))
-            part = []
-    if part or not tables:
-        tables.append(WuManber(part, run, block))
-    search = _search_udf(spark, tables)
-    return (
-        documents.where(F.length("text") > 0)
-        .select(F.col("doc_id").cast("bigint").alias("doc_id"), F.explode(search("text")).alias("item_id"))
-        .distinct()
-    )
+    texts = documents.where(F.length("text") > 0).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    quotes = items.where(F.length("quote") > 0).select(F.col("item_id").cast("bigint").alias("item_id"), "quote").distinct()
+    chars = quotes.agg(F.sum(F.length("quote"))).first()[0] or 0
+    blocks = -(-chars // block_chars) or 1
+    if blocks == 1:
+        found, _ = _searching(spark, texts, WuManber([tuple(r) for r in quotes.collect()], run, block))
+        return found.distinct()
+    # items spread evenly by their hash, so a block holds about its share of the characters
+    part = cut(quotes.withColumn("part", F.pmod(F.xxhash64("item_id", "quote"), F.lit(blocks))))
+    passes = []
+    for k in range(blocks):
+        rows = [tuple(r) for r in part.where(F.col("part") == k).select("item_id", "quote").collect()]
+        found, shared = _searching(spark, texts, WuManber(rows, run, block))
+        passes.append(cut(found.distinct()))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, passes).distinct()
 
 
 def leak_report(found: DataFrame, items: DataFrame) -> DataFrame:

@@ -159,6 +159,14 @@ def test_leaks_table(spark):
     assert leakage.leaks(df.limit(0), items).count() == 0 and leakage.leaks(df, items.limit(0)).count() == 0
 
 
+def test_leaks_in_blocks_of_items(spark):
+    quotes = [" ".join(f"w{k}x{j}" for j in range(20)) for k in range(9)]
+    items = spark.createDataFrame(list(enumerate(quotes)), "item_id long, quote string")
+    docs = spark.createDataFrame([(k, f"antes {quotes[k]} depois {quotes[(k + 1) % 9]}") for k in range(9)], "doc_id long, text string")
+    whole = sorted(map(tuple, leakage.leaks(docs, items).collect()))
+    assert len(whole) == 18 and whole == sorted(map(tuple, leakage.leaks(docs, items, block_chars=200).collect()))
+
+
 # --- problem 10
 BODY = "O segurado avisará a seguradora. A perda supere a franquia{0}"
 
