@@ -7,13 +7,15 @@
    constant.  Joining ``hash(rare) + difference`` with ``hash(frequent)`` gives the
    candidates, a check of the letters in order confirms them, and the most
    frequent one is the correction.
-3. A second pass marks lines: words of the correction table, digits within
-   words, line-end hyphens with both word parts, page-number lines, and edge
-   lines that name a policy.
+   A digit or sign within a word, or a letter within a number, is evidence by
+   itself: there the true word need not be more frequent.
+3. A second pass marks lines: words of the correction table, line-end hyphens
+   with both word parts, page-number lines, and all lines at the edges of a page.
 4. Hyphens are judged by evidence: a compound written with its hyphen
    elsewhere more often than the joined word keeps it.  Edge lines are headers
    where their skeleton - letters with confusable shapes made equal - stands on
-   three pages of the document.
+   three pages of the document, and either holds a policy number or is no line
+   of many documents, as notices of a source are.
 
 Defined results: null and blank pages have no lines; repeated rows of a page
 count once in the result; headings, labelled lines, headers and page-number lines
@@ -31,6 +33,7 @@ from uuid import uuid4
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, StringType
+from xxhash import xxh3_64_hexdigest
 
 from lavra.llm.lookalike import SUSPECT, canonical, canonical_column
 from lavra.session import cut
@@ -39,8 +42,10 @@ from lavra.session import cut
 CONFUSIONS = (
     "i l", "l i", "e c", "c e", "o 0", "s 5", "l 1", "i 1", "b 6", "g 9", "z 2", "b 8", "u ii", "d cl", "cl d", "n ri",
     "ri n", "m rn", "rn m", "g q", "q g", "ti h", "li h", "h li", "v y", "y v", "w vv", "ã ä", "õ ö", "ç g", "é 6", "í l", "í 1",
-    "ó 6", "á à", "a á", "h b", "m nn", "in m", "nt m", "o ö",
+    "ó 6", "á à", "a á", "h b", "m nn", "in m", "nt m", "o ö", "a @", "á @",
 )
+# The same for the digits of a number.
+NUMBER_CONFUSIONS = ("0 o", "1 l", "1 i", "5 s", "8 b")
 
 #: A frequent word is at least so many times as frequent as its misreading.
 RATIO = 10
@@ -48,13 +53,19 @@ RATIO = 10
 MAX_WORD = 40
 #: Entries of the correction table that are broadcast; a larger table is joined.
 MAX_TABLE = 2_000_000
+#: Digits of the longest number that counts as a word.
+MAX_NUMBER = 4
 #: Pages on which a header recurs, and lines at either edge of a page that may hold one.
 HEADER_PAGES, EDGE = 3, 4
+#: A line without a policy number on the pages of so many documents names no policy or party of one of them.
+MANY_DOCUMENTS = 4
+#: Letters and digits of the shortest header.
+MIN_HEADER = 8
 
 _SUSPECT = re.compile(SUSPECT)
 #: A break sign at a line's end; its neighbours are read from the text around it.
 _BREAK = re.compile(r"[-¬­‐–](?=[ \t]*(?:\n|\Z))")
-_TOKEN = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
+_TOKEN = re.compile(r"[^\W_]+(?:[-@][^\W_]+)*")
 _LABEL = re.compile(r"\s*[A-ZÀ-Ý][^:.;\n]{1,45}:\s")
 _NUMBERED = re.compile(r"\s*\d+(?:\.\d+)*[.)]?\s+[A-ZÀ-Ý][^.;:]{2,60}\s*\Z")
 _ID = re.compile(r"[A-Z0-9OIl]{2,4}-[A-Z0-9]{2,5}-[\w]{4,7}")
@@ -164,7 +175,7 @@ def _as_frame(raw: Counter) -> pd.DataFrame:
     counts: Counter = Counter()
     for token, n in raw.items():
         for w in _TOKEN.findall(token):
-            if 1 < len(w) <= MAX_WORD and not w.isdigit():
+            if 1 < len(w) <= (MAX_NUMBER if w.isdigit() else MAX_WORD):
                 counts[w] += n
     return pd.DataFrame(list(counts.items()), columns=["word", "n"])
 
@@ -186,19 +197,23 @@ def _hash(text: str) -> int:
 
 
 def corrections(words: DataFrame, ratio: float = RATIO) -> DataFrame:
-    """(word, correct, read, true) of the words that are misreadings of a much more frequent word."""
+    """(word, correct, read, true) of the words that are misreadings of a much more frequent word.
+
+    Words with a digit or sign meet every word that reading these otherwise makes of them, whatever its frequency.
+    """
     plain = words.where(~F.col("word").contains("-")).select("word", "n", anagram_hash(F.col("word")).alias("h"))
-    changes = [(c.split(" ")[0], c.split(" ")[1]) for c in CONFUSIONS]
+    changes = [(*c.split(" "), False) for c in CONFUSIONS] + [(*c.split(" "), True) for c in NUMBER_CONFUSIONS]
+    odd = F.col("word").rlike("[0-9@]")
     options = F.array(
         *[
-            F.when(F.col("word").contains(read), F.struct(F.lit(true).alias("true"), F.lit(read).alias("read"), (F.col("h") + F.lit(times * (_hash(true) - _hash(read)))).alias("target")))
-            for true, read in changes
+            F.when(F.col("word").contains(read) & (odd if number or not read.isalpha() else ~odd), F.struct(F.lit(true).alias("true"), F.lit(read).alias("read"), (F.col("h") + F.lit(times * (_hash(true) - _hash(read)))).alias("target")))
+            for true, read, number in changes
             for times in (1, 2)
         ]
     )
-    rare = plain.select("word", "n", F.explode(F.array_compact(options)).alias("o")).select("word", "n", "o.*")
+    rare = plain.where(~F.col("word").rlike("^[0-9]+$")).select("word", "n", F.explode(F.array_compact(options)).alias("o")).select("word", "n", "o.*")
     frequent = plain.where(F.length("word") > 1).select(F.col("word").alias("correct"), F.col("n").alias("m"), F.col("h").alias("target"))
-    met = rare.join(frequent, "target").where((F.col("m") >= ratio * F.col("n")) & (F.col("word") != F.col("correct")))
+    met = rare.join(frequent, "target").where((odd | (F.col("m") >= ratio * F.col("n"))) & ~F.col("correct").rlike("@") & (F.col("word") != F.col("correct")))
     size = F.length("read")
     single = F.exists(
         F.sequence(F.lit(1), F.length("word")),
@@ -243,17 +258,22 @@ class Judge:
         return found
 
     def _misread(self, token: str) -> bool:
-        if _SIGN_IN_WORD.search(token):
-            return True
         for word in _TOKEN.findall(token):
-            if word.lower() in self.bad:
+            if "-" in word and word.lower() in self.bad:
                 return True
-            if _ID.search(word):
+            if "-" in word and _ID.search(word):
                 continue
-            if any(p.lower() in self.bad or digit_in_word(p) or letter_in_number(p) for p in word.split("-")):
+            if any(p.lower() in self.bad and self._odd(p, token) for p in word.split("-")):
                 return True
         return False
 
+    @staticmethod
+    def _odd(word: str, token: str) -> bool:
+        """Exact check of words with digits or signs, which may also be codes, units and addresses."""
+        if word.isalpha():
+            return True
+        return bool(_SIGN_IN_WORD.search(token)) if "@" in word else digit_in_word(word) or letter_in_number(word)
+
 
 _TABLES: dict[str, Judge] = {}
 
@@ -282,7 +302,7 @@ def mark_page(text: str, number: int | None, misread: Judge) -> list[tuple[int,
     """(line_no, kind, a, b) of one page.
 
     Kinds: ``misread``, ``break`` (a, b: parts of the word, with the sign after a tab), ``page_number``, and
-    ``edge`` (a: skeleton) for lines that may be headers.
+    ``edge`` (a: hash of the skeleton, b: ``id`` where it holds a policy number) for lines that may be headers.
     """
     lines = text.split("\n")
     filled = [k for k, line in enumerate(lines) if line and not line.isspace()]
@@ -293,9 +313,13 @@ def mark_page(text: str, number: int | None, misread: Judge) -> list[tuple[int,
         if number is not None and len(line.strip()) <= 24 and is_page_number(line, number):
             out.append((k + 1, "page_number", None, None))
             furniture.add(k)
-        elif line.count("-") > 1 and len(line) <= 160 and _ID.search(line) and not _LABEL.match(line):
-            out.append((k + 1, "edge", skeleton(line), None))
-            furniture.add(k)
+        elif not _LABEL.match(line):
+            named = line.count("-") > 1 and bool(_ID.search(line))
+            shape = skeleton(line)
+            if named or len(shape) >= MIN_HEADER and not is_heading(line):
+                out.append((k + 1, "edge", xxh3_64_hexdigest(shape), "id" if named else None))
+            if named:
+                furniture.add(k)
     # misread words: whole-page test first, lines only where it finds something.  Parts of broken words, also of
     # one broken at the page's end or start, are no words of their own.
     broken = breaks(text)
@@ -314,7 +338,9 @@ def mark_page(text: str, number: int | None, misread: Judge) -> list[tuple[int,
             continue
         left, right = text[start:sign], text[begin:end]
         far = text.count("\n", 0, begin)
-        if right and far not in furniture and misread(left + right) and _running(lines[k]):
+        # a part that holds a digit or sign is also read as half of a compound
+        odd = right and not (left + right).isalpha() and misread(f"{left}-{right}")
+        if right and far not in furniture and (misread(left + right) or odd) and _running(lines[k]):
             good = misread.bad.get((left + right).lower(), left.lower() if misread(right) else "")
             same = 0
             while same < min(len(good), len(left)) and good[same] == left[same].lower():
@@ -335,7 +361,7 @@ def page_words(text: str) -> set[str]:
     found = breaks(text)
     tokens = set((_split_off(text, [k for s, g, b, e in found for k in ((s, g), (b, e))]) if found else text).split())
     for start, sign, begin, end in found:
-        tokens |= {text[start:sign] + text[begin:end], text[begin:end]}
+        tokens |= {text[start:sign] + text[begin:end], text[start:sign], text[begin:end]}
     parts = {p.lower() for t in tokens for w in _TOKEN.findall(t) for p in w.split("-")}
     return {p for p in parts if 1 < len(p) <= MAX_WORD and not p.isdigit()}
 
@@ -404,9 +430,16 @@ def judged(marks: DataFrame, words: DataFrame) -> DataFrame:
     keeps = F.when(F.col("r").isNotNull(), n("n_compound") > n("n_whole")).otherwise(n("n_first") > n("n_alone"))
     hyphens = seen.where(F.col("sign").isin("¬", "­") | ~keeps).select("page_id", "document_id", "line_no", F.lit("hyphen").alias("kind"))
     edges = marks.where("kind = 'edge'")
-    recurring = edges.groupBy("document_id", "a").agg(F.countDistinct("page_number").alias("k")).where(F.col("k") >= HEADER_PAGES)
-    headers = edges.join(recurring, ["document_id", "a"]).select("page_id", "document_id", "line_no", F.lit("header").alias("kind"))
-    return direct.unionByName(hyphens).unionByName(headers).distinct()
+    recurring = edges.groupBy("document_id", "a").agg(F.countDistinct("page_number").alias("k"), F.max("b").alias("id")).where(F.col("k") >= HEADER_PAGES)
+    recurring = cut(recurring)
+    common = recurring.where("id IS NULL").groupBy("a").count().where(F.col("count") >= MANY_DOCUMENTS).select("a")
+    own = recurring.where("id IS NOT NULL").unionByName(recurring.where("id IS NULL").join(common, "a", "left_anti"))
+    headers = edges.join(own.select("document_id", "a"), ["document_id", "a"]).select("page_id", "document_id", "line_no", F.lit("header").alias("kind"))
+    found = hyphens.unionByName(headers).unionByName(direct)
+    # a line that turned out to be a header holds no running text
+    kinds = found.groupBy("page_id", "document_id", "line_no").agg(F.collect_set("kind").alias("kinds"))
+    running = F.filter("kinds", lambda k: (k == "header") | ~F.array_contains("kinds", "header") | (k == "page_number"))
+    return kinds.select("page_id", "document_id", "line_no", F.explode(running).alias("kind"))
 
 
 def repaired_pages(pages: DataFrame, found: DataFrame, fixes: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
@@ -461,7 +494,7 @@ def repair(text: str | None, drop: set[int], hyphens: set[int]) -> str | None:
     return "\n\n".join(paragraphs)
 
 
-_WORD = re.compile(r"[^\W_]+")
+_WORD = re.compile(r"[^\W_]+(?:@[^\W_]+)*")
 
 
 def correct(text: str, fixes: dict[str, str]) -> str:
@@ -470,7 +503,7 @@ def correct(text: str, fixes: dict[str, str]) -> str:
     def fix(m: re.Match) -> str:
         word = m.group()
         good = fixes.get(word.lower())
-        if good is None:
+        if good is None or not Judge._odd(word, word):
             return word
         return good.upper() if word.isupper() and len(word) > 1 else good.capitalize() if word[0].isupper() else good
 

@@ -167,6 +167,26 @@ def test_leaks_in_blocks_of_items(spark):
     assert len(whole) == 18 and whole == sorted(map(tuple, leakage.leaks(docs, items, block_chars=200).collect()))
 
 
+# --- problem 2: headers and digits through the method
+def test_header_without_policy_number(spark):
+    body = "O texto da página {0} segue com palavras que ninguém repete {1}"
+    rows = []
+    for d in range(6):
+        for n in range(1, 4):
+            own = f"Seguradora Aurora S.A. - Tomador: {'ABCDEF'[d]}{'aeioua'[d] * 3} Comércio Ltda"
+            rows.append((10 * d + n, f"d{d}", n, "\n".join([own, "Este portal oferece o documento a todos", body.format("um dois três".split()[n - 1], "xyzvwq"[d] * n)])))
+    found = scan_noise.noise(spark.createDataFrame(rows, "page_id long, document_id string, page_number int, text string"))
+    assert sorted((r.page_id, r.line_no) for r in found.where("kind = 'header'").collect()) == sorted((r[0], 1) for r in rows)
+
+
+def test_digits_and_signs_meet_their_word_in_the_join(spark):
+    words = [("seguro", 1), ("segur0", 1), ("pagamento", 3), ("p@gamento", 2), ("14", 5), ("l4", 1), ("10mm", 1), ("zzz0", 1), ("2019", 4), ("20l9", 9)]
+    fixes = {r.word: r.correct for r in scan_noise.corrections(spark.createDataFrame(words, "word string, n long")).collect()}
+    assert fixes == {"segur0": "seguro", "p@gamento": "pagamento", "l4": "14", "20l9": "2019"}
+    judge = scan_noise.Judge(fixes)
+    assert all(map(judge, ("Segur0,", "p@gamento", "l4", "20l9."))) and not any(map(judge, ("zzz0", "10mm", "a@b.com", "seguro")))
+
+
 # --- problem 10
 BODY = "O segurado avisará a seguradora. A perda supere a franquia{0}"
 
