@@ -10,12 +10,13 @@
    A digit or sign within a word, or a letter within a number, is evidence by
    itself: there the true word need not be more frequent.
 3. A second pass marks lines: words of the correction table, line-end hyphens
-   with both word parts, page-number lines, and all lines at the edges of a page.
+   with both word parts, page-number lines, and lines at the edges of a page that
+   hold a policy number or nothing but names.
 4. Hyphens are judged by evidence: a compound written with its hyphen
    elsewhere more often than the joined word keeps it.  Edge lines are headers
    where their skeleton - letters with confusable shapes made equal - stands on
-   three pages of the document, and either holds a policy number or is no line
-   of many documents, as notices of a source are.
+   three pages of the document, and either holds a policy number or consists of
+   names and is no line of many documents, as notices of a source are.
 
 Defined results: null and blank pages have no lines; repeated rows of a page
 count once in the result; headings, labelled lines, headers and page-number lines
@@ -115,6 +116,12 @@ def is_heading(line: str) -> bool:
     return bool(_NUMBERED.match(line)) and len(line) < 60
 
 
+def names_only(line: str) -> bool:
+    """Whether all longer words of a line begin with a capital letter, as in lines that name somebody."""
+    words = [w for w in re.findall(r"[^\W\d_]{4,}", line)]
+    return bool(words) and all(w[0].isupper() for w in words)
+
+
 def digit_in_word(token: str) -> bool:
     """A digit that stands for a letter: one or two among three or more letters of a word."""
     digits = sum(ch.isdigit() for ch in token)
@@ -316,7 +323,7 @@ def mark_page(text: str, number: int | None, misread: Judge) -> list[tuple[int,
         elif not _LABEL.match(line):
             named = line.count("-") > 1 and bool(_ID.search(line))
             shape = skeleton(line)
-            if named or len(shape) >= MIN_HEADER and not is_heading(line):
+            if named or len(shape) >= MIN_HEADER and not is_heading(line) and names_only(line):
                 out.append((k + 1, "edge", xxh3_64_hexdigest(shape), "id" if named else None))
             if named:
                 furniture.add(k)
