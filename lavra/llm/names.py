@@ -17,8 +17,9 @@ are frequent enough to reach it, so a hot key does not square.  Chains of
 attachments end in one canonical unit by pointer jumping.
 
 Descriptors are learned: words in a fixed share of all distinct spellings of
-the field.  The number of such words is bounded by words-per-name over the
-share, whatever the size of the data.
+the field that keep no company, as a descriptor stands with the proper words of
+many entities and a proper word with the few of its own.  The number of such
+words is bounded by words-per-name over the share, whatever the size of the data.
 
 Defined results: null, empty and marker values are no names; spellings without
 a proper word stand for themselves; words over ``MAX_WORD`` letters must be
@@ -41,8 +42,9 @@ from lavra.session import cut, spread
 FIELDS = ("seguradora", "tomador_segurado")
 #: Markers of a missing value.
 MISSING = ("", "nao_localizado")
-#: A learned descriptor stands in this share of the spellings, and in so many at least.
-SHARE, LEAST = 0.008, 15
+#: A learned descriptor stands in this share of the spellings, and in so many at least; beside so many other words at
+#: least; and beside all of them but one in less than this share of its own spellings.
+SHARE, LEAST, COMPANIONS, LOYAL = 0.008, 4, 8, 0.34
 #: Letters of the longest word that may hold a typing error; longer ones only equal themselves.
 MAX_WORD = 40
 #: Typing errors that one name may differ by, and the log-odds each costs.
@@ -55,12 +57,9 @@ PARTICLES = "de da do das dos del la e y"
 LINES = {"resseguro": "resseguradora resseguros ressegurador", "vida": "vida previdencia", "gerais": "gerais", "companhia": "companhia cia"}
 LINE_FILLERS = "seguros seguradora seguro brasil br"
 LINE_ABBREVIATIONS = {"seg": "", "segs": "", "segur": "", "resseg": "resseguro", "resseguro": "resseguro", "prev": "vida", "v": "vida", "ger": "gerais", "comp": "companhia", "cia": "companhia", "bras": ""}
-# Common words of activities and given names; data add their own.
+# Activities known before any data, which tables too small to learn from need.
 ACTIVITIES = "energia agropecuaria metalurgica industria quimica construtora participacoes tecnologia transportes engenharia distribuidora comercio alimentos hospitais"
-GIVEN = (
-    "gabriela rafael eduardo sebastiao isabel joaquim patricia roberto francisco luiz felipe fernanda maria aparecida vinicius jose daniela antonio"
-    " joao ana paulo pedro carlos marcos lucas mateus juliana camila bruno ricardo marcelo andre beatriz helena claudia"
-)
+# Nicknames and their given names.
 NICKNAMES = {
     "paty": "patricia", "pati": "patricia", "vini": "vinicius", "beto": "roberto", "rafa": "rafael", "chico": "francisco", "dani": "daniela",
     "edu": "eduardo", "dudu": "eduardo", "ze": "jose", "quim": "joaquim", "tonho": "antonio", "toninho": "antonio", "tiao": "sebastiao",
@@ -217,29 +216,36 @@ def spellings(extractions: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataF
 
 
 def learn_descriptors(names: DataFrame, share: float = SHARE, least: int = LEAST) -> tuple[frozenset[str], frozenset[str]]:
-    """(activities, given names): fixed words and those in a fixed share of a field's spellings.
+    """(activities, given names): those known before, and those learned from a field's spellings.
 
     A learned word is an activity where a third of its names carry a legal form.
     """
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def words(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("struct<words:array<string>,legal:boolean>")
+    def read(texts: pd.Series) -> pd.DataFrame:
         def one(text):
             low = plain(text)
             legal = bool(_SA.search(low) or re.search(r"(?<![a-z])(?:ltda|limitada|sociedade)", low))
-            return [("+" if legal else "-") + w for w in {w for w, dot in _TOKEN.findall(_SA.sub(" ", low)) if not dot and len(w) > 2}]
+            return sorted({w for w, dot in _TOKEN.findall(_SA.sub(" ", low)) if not dot and len(w) > 2}), legal
 
-        return texts.map(one)
+        return pd.DataFrame([one(t) for t in texts], columns=["words", "legal"])
 
     total = names.count()
-    marked = names.select(F.explode(words("name")).alias("w"))
-    counts = marked.groupBy(F.substring("w", 2, 99).alias("word")).agg(F.count("*").alias("k"), F.count_if(F.col("w").startswith("+")).alias("legal"))
-    # at most (words per name) / share rows
-    rows = counts.where(F.col("k") >= max(least, share * total)).collect()
-    no = {*LEGAL.split(), *PARTICLES.split()}
-    activities = {r["word"] for r in rows if 3 * r["legal"] >= r["k"]} - no - set(GIVEN.split())
-    given = {r["word"] for r in rows if 3 * r["legal"] < r["k"]} - no - set(ACTIVITIES.split()) - set(NICKNAMES)
-    return frozenset(activities | set(ACTIVITIES.split())), frozenset((given | set(GIVEN.split())) - activities)
+    silent = [*LEGAL.split(), *PARTICLES.split()]
+    words = names.select(read("name").alias("r")).select(F.array_except("r.words", F.array(*map(F.lit, silent))).alias("words"), "r.legal")
+    counts = words.select(F.explode("words").alias("word"), "legal").groupBy("word").agg(F.count("*").alias("k"), F.count_if("legal").alias("legal"))
+    often = cut(counts.where(F.col("k") >= max(least, share * total)))  # at most (words per name) / share rows
+    beside = words.select(F.explode("words").alias("word"), "words").join(F.broadcast(often), "word").select("word", "k", F.explode("words").alias("other")).where("word <> other")
+    met = beside.groupBy("word", "k", "other").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("n"), "other"))
+    second = met.withColumn("place", place).where("place = 2").select("word", F.col("n").alias("second"))
+    many = met.groupBy("word").agg(F.count("*").alias("companions")).where(F.col("companions") >= COMPANIONS)
+    rows = often.join(many, "word").join(second, "word").where(F.col("second") < LOYAL * F.col("k")).select("word", "k", "legal").collect()
+    known = frozenset(NICKNAMES.values())
+    activities = frozenset(r["word"] for r in rows if 3 * r["legal"] >= r["k"]) - known
+    given = frozenset(r["word"] for r in rows if 3 * r["legal"] < r["k"]) - set(NICKNAMES) - set(ACTIVITIES.split())
+    activities |= set(ACTIVITIES.split())
+    return activities, (given | known) - activities
 
 
 def _deletions(word: str) -> set[str]:
