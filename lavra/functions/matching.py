@@ -65,11 +65,11 @@ def fuzzy_map(spellings: DataFrame, lexicon: DataFrame, max_relative: float = 0.
     """
     index = lexicon.select(F.col("word").alias("entry"), "meaning", F.explode(n_grams(F.col("word"), n)).alias("gram"), F.size(n_grams(F.col("word"), n)).alias("m"))
     grams = n_grams(F.col("word"), n)
-    exact = spellings.join(F.broadcast(lexicon), "word").select("word", "meaning", F.lit(0.0).alias("distance"), F.col("word").alias("entry"))
-    rest = spellings.join(F.broadcast(lexicon.select("word")), "word", "left_anti").where(F.length("word") >= min_length)
+    exact = spellings.join(lexicon, "word").select("word", "meaning", F.lit(0.0).alias("distance"), F.col("word").alias("entry"))
+    rest = spellings.join(lexicon.select("word"), "word", "left_anti").where(F.length("word") >= min_length)
     shared = (
         rest.select("word", F.size(grams).alias("g"), F.explode(grams).alias("gram"))
-        .join(F.broadcast(index), "gram")
+        .join(index, "gram")
         .groupBy("word", "entry", "meaning", "g", "m")
         .agg(F.count("*").alias("s"))
         .where(2 * F.col("s") >= F.greatest("g", "m") - n)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lavra.functions.matching import fuzzy_map, plain, plain_column
-from lavra.session import broadcast_if_small
+from lavra.session import broadcast_if_small, cut
 
 FIELDS = ("limite_maximo_garantia", "retencao_franquia", "premio")
 
@@ -169,8 +169,9 @@ def convert_amounts(extractions: DataFrame, languages: DataFrame, rates: DataFra
     base = extractions.select(F.col("extraction_id").cast("bigint").alias("extraction_id"), "document_id", "moeda", *fields).distinct().join(languages, "document_id", "left")
     long = base.select("extraction_id", "lang", "moeda", F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields])).alias("f"))
     parsed = parse_amounts(long.select("extraction_id", "lang", F.trim(plain_column(F.col("moeda"))).alias("moeda"), "f.field_name", "f.value").where("value is not null"))
-    parsed = parsed.where(F.col("number").isNotNull())
-    texts = parsed.where(~F.col("percent")).select("unit").union(base.select(F.trim(plain_column(F.col("moeda"))).alias("unit"))).distinct()
+    # read for the dictionary, the amounts and the shares: taken apart once and kept
+    parsed = cut(parsed.where(F.col("number").isNotNull()).select("extraction_id", "field_name", "moeda", "number", "times", "percent", "unit"))
+    texts = parsed.select(F.explode(F.array(F.when(~F.col("percent"), F.col("unit")), F.col("moeda"))).alias("unit")).distinct()
     aliases = broadcast_if_small(alias_dictionary(texts))
     own = aliases.select("unit", F.col("currency").alias("own_currency"), F.col("scale").alias("own_scale"), F.col("known").alias("own_known"))
     shared = aliases.select(F.col("unit").alias("moeda"), F.col("currency").alias("moeda_currency"), F.col("scale").alias("moeda_scale"), F.col("known").alias("moeda_known"))
@@ -180,7 +181,7 @@ def convert_amounts(extractions: DataFrame, languages: DataFrame, rates: DataFra
     one = F.lit(1).cast("decimal(12,2)")
     currency = F.coalesce("own_currency", from_moeda)
     scale = F.when(bare, F.coalesce("moeda_scale", one)).otherwise(F.coalesce("own_scale", one))
-    price = F.broadcast(rates.select(F.col("currency").alias("_code"), "brl_per_unit").distinct())
+    price = rates.select(F.col("currency").alias("_code"), "brl_per_unit").distinct()
     amounts = (
         joined.where(~F.col("percent") & F.col("own_known"))
         .withColumn("_code", currency)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Upper bound, in rows, below which a helper may broadcast a dimension whose
-#: rows are short (under ~200 bytes): 200,000 rows stay well below 100 MB.
-BROADCAST_ROWS = 200_000
+#: Upper bounds, in rows and in bytes of their JSON form, below which a helper may broadcast a frame.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64_000_000
 
 
 def get_session(app: str = "lavra", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -27,11 +27,13 @@ def get_session(app: str = "lavra", cpus: int | str = "*", **conf: str) -> Spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; set a local one only where none is named."""
+    """Use the cluster's shared folder; a folder of our own only in a local session that names none."""
     if spark.conf.get("spark.checkpoint.dir", None):
         return
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lavra-checkpoint-"))
 
 
@@ -41,14 +43,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Checkpoint ``df`` and hint a broadcast only when its counted rows stay under the bound.
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Checkpoint ``df`` and hint a broadcast only when its rows and their bytes, both measured, stay under the bounds.
 
-    Beyond the bound the frame is returned without a hint, and the join falls
+    Beyond them the frame is returned without a hint, and the join falls
     back to Spark's shuffled join, which AQE splits where a key is hot.
     """
     kept = cut(df)
-    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+    n, length = kept.limit(rows + 1).selectExpr("count(*)", "coalesce(sum(octet_length(to_json(struct(*)))), 0)").first()
+    return F.broadcast(kept) if n <= rows and length <= size else kept
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:
