@@ -146,7 +146,7 @@ def v02_filtered_top_k(spark, sf_dir):
 
 
 QUERIES |= {f.__name__: f for f in (v01_cosine_top_k, v02_filtered_top_k)}
-_TOP = """SELECT query_id, vec_id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM (
-  SELECT q.vec_id AS query_id, v.vec_id, round(greatest(0, 1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS distance
+_TOP = """SELECT query_id, vec_id, round(d, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id)::INT AS rank FROM (
+  SELECT q.vec_id AS query_id, v.vec_id, greatest(0, round(1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12)) AS d
   FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0 {0})) WHERE rank <= {1}"""
 ORACLES |= {"v01_cosine_top_k": _TOP.format("", 10), "v02_filtered_top_k": _TOP.format("AND q.label = v.label", 5)}
