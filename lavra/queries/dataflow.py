@@ -49,7 +49,6 @@ ENTRIES = [
     # validation
     both("check_p09_downgrade", "Evidence found but of low confidence becomes ambiguous, nothing else changes", "SELECT evidence_id, CASE WHEN status = 'FOUND' AND coalesce(confianca, 0) < 0.5 THEN 'AMBIGUOUS' ELSE status END AS status FROM <FE>"),
     both("check_p10_valid_ids", "Rows with ill-formed identifiers", "SELECT DISTINCT document_id FROM [clauses] WHERE NOT <f>", f=("(document_id RLIKE '^[0-9a-f]{{64}}$' AND clause_id RLIKE '^clause-[0-9]{{4}}$')", "(regexp_matches(document_id, '^[0-9a-f]{64}$') AND regexp_matches(clause_id, '^clause-[0-9]{4}$'))")),
-    both("check_p11_matrix_filter", "Fields that differ for any candidate of a reference", "WITH <COMPARED> SELECT DISTINCT ref_id, field_name FROM compared WHERE class NOT IN ('igual', 'nao_localizado_em_ambos')"),
     both("check_p12_group_view", "Fields of the group LIMITS of each document", f"WITH {GRP} SELECT b.document_id, b.field_name, b.evidence_id FROM <BEST> b JOIN grp g ON g.field_name = b.field_name WHERE g.group_id = 'LIMITS'"),
     both("check_p14_gated_lines", "Labelled lines of documents that name general conditions", "WITH <LINES>, ok AS (SELECT document_id FROM lines GROUP BY document_id HAVING max(CASE WHEN contains(lower(line), 'condições') THEN 1 ELSE 0 END) = 1) SELECT l.document_id, l.page_number, l.line_no FROM lines l JOIN ok ON ok.document_id = l.document_id WHERE <f>", f=(r"trim(line) RLIKE '^[^:]{{2,40}}: .{{1,250}}$'", r"regexp_matches(trim(line), '^[^:]{2,40}: .{1,250}$')")),
     both("check_p16_result_validity", "Documents whose evidence lacks a field or repeats one", "SELECT document_id, count(DISTINCT field_name) AS n_fields, count(*) AS n_rows FROM <FE> GROUP BY document_id HAVING count(DISTINCT field_name) <> 12 OR count(*) <> count(DISTINCT field_name)"),
@@ -59,10 +58,7 @@ ENTRIES = [
     both("j03_review_default", "Review status of each evidence, with a default", "SELECT f.evidence_id, coalesce(r.review, 'Não revisado') AS review FROM <FE> f LEFT JOIN (SELECT DISTINCT document_id, 'Confirmado' AS review FROM [policy_extraction] WHERE side_a = 'sim') r ON r.document_id = f.document_id"),
     both("j06_chunk_pages", "Chunks with the page they stand on", "SELECT c.chunk_id, min(p.page_id) AS page_id FROM (SELECT DISTINCT chunk_id, document_id, page_number FROM [evidence_chunks]) c JOIN <PG> p ON p.document_id = c.document_id AND p.page_number = c.page_number GROUP BY c.chunk_id"),
     both("j10_rate_lookup", "Events with the rate of their model", f"WITH {RATES} SELECT e.event_id, r.p_in FROM [events] e LEFT JOIN rates r ON r.model = e.event_type"),
-    both("j12_pair_membership", "Candidates of a reference by hash of the ordered pair", "WITH <COMPARED> SELECT DISTINCT <h> AS pair_hash FROM compared", h=("sha2(concat(least(ref_id, cand_id), ':', greatest(ref_id, cand_id)), 256)", "sha256(least(ref_id, cand_id) || ':' || greatest(ref_id, cand_id))")),
     # aggregates
-    both("a11_executive_metrics", "Per pair: fields without safe order, and reviewable ones", f"WITH <COMPARED> SELECT ref_id, cand_id, {n_if("class NOT IN ('igual', 'nao_localizado_em_ambos')")} AS differences, {n_if("class IN ('diferente_nao_comparavel', 'ausente_em_um')")} AS non_comparable, {n_if(f"class = 'igual' AND field_name NOT IN {NO_ADVANTAGE}")} AS equal_terms FROM compared GROUP BY ref_id, cand_id"),
-    both("a12_business_counts", "Cells of a reference by state, without identity fields", f"WITH <COMPARED> SELECT ref_id, {n_if("class = 'igual'")} AS equivalent, {n_if("class = 'diferente_nao_comparavel'")} AS differences, {n_if("class IN ('ausente_em_um', 'nao_localizado_em_ambos')")} AS insufficient FROM compared WHERE field_name NOT IN {NO_ADVANTAGE} GROUP BY ref_id"),
     both("a17_run_counts", "Attempts, completions and unknown outcomes of each run", f"SELECT user_id, count(*) AS attempts, {n_if("event_type = 'purchase'")} AS completed, {n_if("event_type = 'error'")} AS errors, count(*) - {n_if("event_type IN ('purchase', 'error')")} AS unknown FROM [events] GROUP BY user_id"),
     both("a18_compatibility", "Compatibility of pairs by matching attributes", "WITH a AS (SELECT DISTINCT document_id, seguradora, moeda, base_cobertura, side_a FROM [policy_extraction]), r AS (SELECT seguradora, min(document_id) AS ref_id FROM a WHERE seguradora <> 'nao_localizado' GROUP BY seguradora), p AS (SELECT x.document_id AS ref_id, y.document_id AS cand_id, CASE WHEN x.moeda = y.moeda THEN 1 ELSE 0 END + CASE WHEN x.base_cobertura = y.base_cobertura THEN 1 ELSE 0 END + CASE WHEN x.side_a = y.side_a THEN 1 ELSE 0 END AS matches FROM r JOIN a x ON x.document_id = r.ref_id JOIN a y ON y.seguradora = r.seguradora AND y.document_id <> r.ref_id) SELECT ref_id, cand_id, max(matches) AS matches, CASE WHEN max(matches) = 3 THEN 'Alta' WHEN max(matches) = 2 THEN 'Média' WHEN max(matches) = 1 THEN 'Baixa' ELSE 'Não determinada' END AS status FROM p GROUP BY ref_id, cand_id"),
     both("a22_field_sets", "Fields of a document by how they were resolved", "SELECT document_id, <a> AS found, <b> AS pending FROM <FE> GROUP BY document_id", a=("array_join(array_sort(collect_set(CASE WHEN status = 'FOUND' THEN field_name END)), '+')", "coalesce(array_to_string(list_sort(list_distinct(list(field_name) FILTER (status = 'FOUND'))), '+'), '')"), b=("array_join(array_sort(collect_set(CASE WHEN status <> 'FOUND' THEN field_name END)), '+')", "coalesce(array_to_string(list_sort(list_distinct(list(field_name) FILTER (status <> 'FOUND'))), '+'), '')")),
@@ -81,9 +77,6 @@ ENTRIES = [
     both("x07_route", "Model of each attempt: first, second, strongest", "SELECT event_id, CASE WHEN rn = 1 THEN 'primary' WHEN rn = 2 THEN 'fallback' ELSE 'escalation' END AS route FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM [events])"),
     both("l04_status_lattice", "Status of a field over all its evidence, strongest first", "SELECT document_id, field_name, CASE WHEN max(CASE WHEN status = 'TECHNICAL_UNAVAILABLE' THEN 1 ELSE 0 END) = 1 THEN 'TECHNICAL_UNAVAILABLE' WHEN max(CASE WHEN status = 'AMBIGUOUS' THEN 1 ELSE 0 END) = 1 THEN 'AMBIGUOUS' WHEN max(CASE WHEN status = 'FOUND' THEN 1 ELSE 0 END) = 1 THEN 'FOUND' WHEN max(CASE WHEN status = 'NOT_RETRIEVED' THEN 1 ELSE 0 END) = 1 THEN 'NOT_RETRIEVED' ELSE 'NOT_FOUND' END AS status FROM <FE> GROUP BY document_id, field_name"),
     # comparison
-    both("c04_matrix", "Matrix of fields and candidates with groups and review defaults", f"WITH <COMPARED>, {GRP} SELECT c.ref_id, c.cand_id, c.field_name, coalesce(g.group_id, 'OTHER') AS group_id, c.class, 'Não revisado' AS review FROM compared c LEFT JOIN grp g ON g.field_name = c.field_name"),
-    both("c07_wide_rows", "One row a pair with the class of each compared amount", "WITH <COMPARED> SELECT ref_id, cand_id, max(CASE WHEN field_name = 'limite_maximo_garantia' THEN class END) AS limite, max(CASE WHEN field_name = 'premio' THEN class END) AS premio, max(CASE WHEN field_name = 'moeda' THEN class END) AS moeda FROM compared GROUP BY ref_id, cand_id"),
-    both("c08_reversal", "Pairs with reference and candidate swapped", "WITH <COMPARED> SELECT cand_id AS ref_id, ref_id AS cand_id, field_name, value_b AS value_a, value_a AS value_b FROM compared"),
     both("c09_oversize_guard", "Evidence too long to be compared in one step", "SELECT evidence_id, length(coalesce(trecho_origem, '')) > 1600 OR length(coalesce(valor, '')) > 800 AS oversize FROM <FE>"),
     # sinks
     both("k03_vector_upsert", "Chunks of a document after replacing those of its first clause", "SELECT DISTINCT chunk_id FROM [evidence_chunks] WHERE clause_id <> 'clause-0001' UNION SELECT DISTINCT concat(chunk_id, ':new') FROM [evidence_chunks] WHERE clause_id = 'clause-0001'"),

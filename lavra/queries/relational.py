@@ -184,7 +184,6 @@ ENTRIES: list[tuple[str, str, str, str]] = [
     ("j09_continuation", "The next two clauses, where the page goes on", f"WITH o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page_start, clause_id) AS pos FROM {C_S}) SELECT a.document_id, a.clause_id, b.clause_id AS next_id FROM o a JOIN o b ON a.document_id = b.document_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 2 AND b.page_start <= a.page_end + 1", f"WITH o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page_start, clause_id) AS pos FROM {C_D}) SELECT a.document_id, a.clause_id, b.clause_id AS next_id FROM o a JOIN o b ON a.document_id = b.document_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 2 AND b.page_start <= a.page_end + 1"),
     ("j13_field_groups", "Group of each field in both registries, and groups that share fields", f"WITH {GRP}, {FINE} SELECT g.group_id, f.group_id AS finer_group, count(*) AS n_fields FROM grp g JOIN fine f ON f.field_name = g.field_name GROUP BY g.group_id, f.group_id", f"WITH {GRP}, {FINE} SELECT g.group_id, f.group_id AS finer_group, count(*) AS n_fields FROM grp g JOIN fine f ON f.field_name = g.field_name GROUP BY g.group_id, f.group_id"),
     ("j15_orphans", "Chunks whose document was never delivered", "SELECT DISTINCT c.chunk_id FROM {evidence_chunks} c LEFT ANTI JOIN {processed_documents} d ON d.sha256 = c.document_id", "SELECT DISTINCT c.chunk_id FROM evidence_chunks c WHERE c.document_id NOT IN (SELECT sha256 FROM processed_documents)"),
-    ("j01_field_pairs", "Fields of a reference beside those of its candidates", f"WITH {PAIR_S} SELECT ref_id, cand_id, field_name, value_a, value_b FROM both_sides", f"WITH {PAIR_D} SELECT ref_id, cand_id, field_name, value_a, value_b FROM both_sides"),
     # aggregates
     ("a01_null_poisoned_sum", "Totals that are unknown where one part is, with the known part", f"SELECT user_id, count(*) AS requests, CASE WHEN count(*) = count(tokens) THEN coalesce(sum(tokens), 0) END AS tokens, coalesce(sum(tokens), 0) AS known_tokens FROM {EV_S} GROUP BY user_id", f"SELECT user_id, count(*) AS requests, CASE WHEN count(*) = count(tokens) THEN CAST(coalesce(sum(tokens), 0) AS BIGINT) END AS tokens, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS known_tokens FROM {EV_D} GROUP BY user_id"),
     ("a02_counters", "Requests of unknown usage and failures by user", f"SELECT user_id, count_if(tokens IS NULL) AS unknown_usage, count_if(event_type = 'error') AS failures FROM {EV_S} GROUP BY user_id", f"SELECT user_id, count(*) FILTER (tokens IS NULL) AS unknown_usage, count(*) FILTER (event_type = 'error') AS failures FROM {EV_D} GROUP BY user_id"),
@@ -202,7 +201,6 @@ ENTRIES: list[tuple[str, str, str, str]] = [
     ("a20_recall", "Share of located evidence a field, unknown where there is none", f"SELECT field_name, round(try_divide(count_if(status = 'FOUND'), count(status)), 6) AS recall FROM {FE_S} GROUP BY field_name", f"SELECT field_name, round(count(*) FILTER (status = 'FOUND') / nullif(count(status), 0), 6) AS recall FROM {FE_D} GROUP BY field_name"),
     # ordering
     ("o01_chunk_order", "Position of each chunk in its document", "SELECT document_id, chunk_id, row_number() OVER (PARTITION BY document_id ORDER BY page_number, clause_id, chunk_index, chunk_id) AS pos FROM (SELECT DISTINCT document_id, chunk_id, page_number, clause_id, chunk_index FROM {evidence_chunks})", "SELECT document_id, chunk_id, row_number() OVER (PARTITION BY document_id ORDER BY page_number, clause_id, chunk_index, chunk_id) AS pos FROM (SELECT DISTINCT document_id, chunk_id, page_number, clause_id, chunk_index FROM evidence_chunks)"),
-    ("o05_top_differences", "The first five largest clauses of each category", f"SELECT category, document_id, clause_id, rn FROM (SELECT category, document_id, clause_id, row_number() OVER (PARTITION BY category ORDER BY length(text) DESC, document_id, clause_id) AS rn FROM {C_S}) WHERE rn <= 5", f"SELECT category, document_id, clause_id, rn FROM (SELECT category, document_id, clause_id, row_number() OVER (PARTITION BY category ORDER BY length(text) DESC, document_id, clause_id) AS rn FROM {C_D}) WHERE rn <= 5"),
     ("o09_fixed_batches", "Batches of eight fields a document", f"SELECT document_id, field_name, CAST(floor((row_number() OVER (PARTITION BY document_id ORDER BY field_name) - 1) / 8) AS BIGINT) AS batch FROM {BEST_S}", f"SELECT document_id, field_name, CAST(floor((row_number() OVER (PARTITION BY document_id ORDER BY field_name) - 1) / 8) AS BIGINT) AS batch FROM {BEST_D}"),
     ("o11_rolling_failures", "Failures among a user's last ten events, and the streak they end", "WITH f AS (SELECT user_id, event_id, CAST(event_type = 'error' AS INT) AS bad FROM {events}), g AS (SELECT *, sum(1 - bad) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM f) SELECT user_id, event_id, sum(bad) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS last_ten, sum(bad) OVER (PARTITION BY user_id, island ORDER BY event_id) AS streak FROM g", "WITH f AS (SELECT user_id, event_id, CAST(event_type = 'error' AS INT) AS bad FROM events), g AS (SELECT *, sum(1 - bad) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM f) SELECT user_id, event_id, CAST(sum(bad) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS BIGINT) AS last_ten, CAST(sum(bad) OVER (PARTITION BY user_id, island ORDER BY event_id) AS BIGINT) AS streak FROM g"),
     ("o12_latest_event", "Latest event of each user and type", "SELECT user_id, event_type, max_by(event_id, struct(ts, event_id)) AS event_id FROM {events} GROUP BY user_id, event_type", "SELECT user_id, event_type, arg_max(event_id, {'a': ts, 'b': event_id}) AS event_id FROM events GROUP BY user_id, event_type"),
@@ -217,9 +215,6 @@ ENTRIES: list[tuple[str, str, str, str]] = [
     ("x08_unsafe_runs", "Runs with attempts that never completed", "SELECT user_id, count(*) AS attempts, count_if(event_type = 'error') AS uncertain FROM {events} GROUP BY user_id HAVING count_if(event_type = 'error') > 0 OR count_if(event_type = 'purchase') = 0", "SELECT user_id, count(*) AS attempts, count(*) FILTER (event_type = 'error') AS uncertain FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'error') > 0 OR count(*) FILTER (event_type = 'purchase') = 0"),
     ("x10_resume", "Pages still to be recognised: those without text", "SELECT DISTINCT p.document_id, p.page_number FROM {page_text} p LEFT ANTI JOIN (SELECT document_id, page_number FROM {page_text} WHERE trim(text) <> '') d ON d.document_id = p.document_id AND d.page_number = p.page_number", "SELECT DISTINCT document_id, page_number FROM page_text p WHERE NOT EXISTS (SELECT 1 FROM page_text d WHERE trim(d.text) <> '' AND d.document_id = p.document_id AND d.page_number = p.page_number)"),
     # comparison
-    ("c01_classification", "Class of each field of a pair, in order of precedence", f"WITH {COMPARED_S} SELECT ref_id, cand_id, field_name, class FROM compared WHERE class <> 'nao_localizado_em_ambos'", f"WITH {COMPARED_D} SELECT ref_id, cand_id, field_name, class FROM compared WHERE class <> 'nao_localizado_em_ambos'"),
-    ("a10_class_counts", "Differences of a pair by class", f"WITH {COMPARED_S} SELECT ref_id, cand_id, class, count(*) AS n FROM compared WHERE class <> 'igual' GROUP BY ref_id, cand_id, class", f"WITH {COMPARED_D} SELECT ref_id, cand_id, class, count(*) AS n FROM compared WHERE class <> 'igual' GROUP BY ref_id, cand_id, class"),
-    ("c05_pair_state", "State of a pair: insufficient, equivalent or different", f"WITH {COMPARED_S} SELECT ref_id, cand_id, CASE WHEN count_if(class = 'igual') = 0 AND count_if(class = 'diferente_nao_comparavel') = 0 THEN 'insuficiente' WHEN count_if(class IN ('diferente_nao_comparavel', 'ausente_em_um')) = 0 THEN 'equivalente' ELSE 'diferente' END AS state FROM compared GROUP BY ref_id, cand_id", f"WITH {COMPARED_D} SELECT ref_id, cand_id, CASE WHEN count(*) FILTER (class = 'igual') = 0 AND count(*) FILTER (class = 'diferente_nao_comparavel') = 0 THEN 'insuficiente' WHEN count(*) FILTER (class IN ('diferente_nao_comparavel', 'ausente_em_um')) = 0 THEN 'equivalente' ELSE 'diferente' END AS state FROM compared GROUP BY ref_id, cand_id"),
     # sinks as the tables they would leave
     ("k02_upsert", "Latest extraction of each document after a merge", "SELECT document_id, extraction_id FROM (SELECT document_id, extraction_id, row_number() OVER (PARTITION BY document_id ORDER BY stored_at DESC, extraction_id DESC) AS rn FROM {policy_extraction}) WHERE rn = 1", "SELECT document_id, extraction_id FROM (SELECT document_id, extraction_id, row_number() OVER (PARTITION BY document_id ORDER BY stored_at DESC, extraction_id DESC) AS rn FROM policy_extraction) WHERE rn = 1"),
     ("k05_csv_escape", "Values safe for a spreadsheet", r"SELECT evidence_id, CASE WHEN valor RLIKE '^\\s*[=+@-]' OR valor RLIKE '^[\\t\\r\\n]' THEN concat(chr(39), valor) ELSE valor END AS cell FROM " + FE_S, r"SELECT evidence_id, CASE WHEN regexp_matches(valor, '^\s*[=+@-]') OR regexp_matches(valor, '^[\t\r\n]') THEN chr(39) || valor ELSE valor END AS cell FROM " + FE_D),
