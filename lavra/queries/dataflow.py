@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lavra.functions import dims
-from lavra.operators import retrieval as R, structure
+from lavra.operators import structure
 from lavra.plans.sql import plan
 from lavra.queries.relational import (
     BEST_D, BEST_S, C_D, C_S, COMPARED_D, COMPARED_S, DATES, EV_D, EV_S, FE_D, FE_S, FINE, GRP, LINES_D, LINES_S, PG_D, PG_S, RATES, date_d, date_s, fold_d, fold_s, norm_d, norm_s,
 )
-from lavra.queries.retrieval import _BASE, _prepared, _ranked
 from lavra.sources.tables import table
 
 
@@ -44,7 +43,6 @@ ENTRIES = [
     both("n11_scenarios", "Planned calls of each document: pairs of clauses of one category in batches of eight", "SELECT document_id, CAST(sum(ceil(n * (n - 1) / 2.0 / 8)) AS BIGINT) AS calls FROM (SELECT document_id, category, count(*) AS n FROM <C> GROUP BY document_id, category) GROUP BY document_id"),
     both("n13_scenario_price", "Price by model, with a status where rates are missing", f"WITH {RATES} SELECT e.event_type AS model, count(*) AS n, CASE WHEN count(p_in) < count(*) THEN 'UNVERIFIED' ELSE 'OK' END AS status, round(coalesce(sum(k * p_in), 0) / 1000000, 6) AS price FROM <EV> e LEFT JOIN rates r ON r.model = e.event_type GROUP BY e.event_type"),
     both("n15_known_subtotal", "Known cost of each user, and whether it is incomplete", f"WITH {RATES} SELECT user_id, round(coalesce(sum(tokens * p_in), 0) / 1000000, 6) AS known, count(*) > count(tokens * p_in) AS incomplete FROM <EV> e LEFT JOIN rates r ON r.model = e.event_type GROUP BY user_id"),
-    both("d09_major_sections", "Running number of major headings that are no repeated title", "SELECT document_id, clause_id, CAST(sum(CASE WHEN major AND n < 3 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY page_start, clause_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS section FROM (SELECT *, count(*) OVER (PARTITION BY document_id, <f>) AS n, <m> AS major FROM <C>)", f=(fold_s("title"), fold_d("title")), m=(r"(coalesce(title, '') RLIKE '^[0-9]{{1,2}}[.)]?\\s+[^0-9]' OR (length(regexp_replace(title, '[^\\p{L}]', '')) >= 8 AND upper(title) = title))", r"(regexp_matches(coalesce(title, ''), '^[0-9]{1,2}[.)]?\s+[^0-9]') OR (length(regexp_replace(title, '[^\p{L}]', '', 'g')) >= 8 AND upper(title) = title))")),
     both("d11_heading_batches", "Unclassified headings in batches of twenty", "SELECT document_id, clause_id, CAST(floor((row_number() OVER (PARTITION BY document_id ORDER BY clause_id) - 1) / 20) AS BIGINT) AS batch FROM <C> WHERE category = 'nao_classificada'"),
     # validation
     both("check_p09_downgrade", "Evidence found but of low confidence becomes ambiguous, nothing else changes", "SELECT evidence_id, CASE WHEN status = 'FOUND' AND coalesce(confianca, 0) < 0.5 THEN 'AMBIGUOUS' ELSE status END AS status FROM <FE>"),
@@ -116,26 +114,9 @@ def n02_amounts(spark, sf_dir):
     return rows.select("evidence_id", F.array_join(F.transform(structure.amounts_in(F.col("valor")), lambda x: x.cast("string")), "|").alias("amounts"))
 
 
-def r12_section_expansion(spark, sf_dir):
-    """Clauses of the selected ones' sections, where a section spans at most eight pages."""
-    prepared = _prepared(spark, sf_dir)
-    sections = R.sections(prepared, R.repeated_titles(prepared, table(spark, sf_dir, "page_text").select("document_id", "page_number")))
-    return R.section_expansion(R.select_quota(_ranked(spark, sf_dir)), sections)
-
-
-def r14_diagnostics(spark, sf_dir):
-    """Per field of a document: candidates, selected ones, their pages and methods, and the field's status (R15)."""
-    return R.diagnostics(_ranked(spark, sf_dir), table(spark, sf_dir, "page_text").select("document_id").distinct())
-
-
-_SEQUENTIAL = (d06_page_provenance, d07_sub_chunks, o08_batch_packing, n02_amounts, r12_section_expansion, r14_diagnostics)
+_SEQUENTIAL = (d06_page_provenance, d07_sub_chunks, o08_batch_packing, n02_amounts)
 QUERIES = {name: plan(name, spark, doc) for name, doc, spark, _ in ENTRIES} | {f.__name__: f for f in _SEQUENTIAL}
 ORACLES = {name: duck for name, _, _, duck in ENTRIES} | {
     "d06_page_provenance": f"""WITH o AS (SELECT document_id, clause_id, page_number, sum(length(text)) OVER (PARTITION BY document_id, clause_id ORDER BY page_number, chunk_index) AS e, length(text) AS n FROM (SELECT DISTINCT document_id, clause_id, page_number, chunk_index, text FROM evidence_chunks))
         SELECT document_id, clause_id, page_number, CAST(min(e - n) AS BIGINT) AS begin, CAST(max(e) AS BIGINT) AS end FROM o JOIN (SELECT DISTINCT document_id, clause_id FROM clauses) USING (document_id, clause_id) GROUP BY ALL""",
-    "r14_diagnostics": f"""WITH {_BASE}, docs AS (SELECT DISTINCT document_id FROM page_text), f AS (SELECT DISTINCT field_name FROM terms)
-        SELECT d.document_id, f.field_name, count(r.clause_id) AS n_candidates, count(CASE WHEN s.clause_id IS NOT NULL THEN 1 END) AS n_selected,
-        CASE WHEN count(s.clause_id) > 0 THEN 'CANDIDATES' ELSE 'NOT_RETRIEVED' END AS status, count(r.clause_id) > count(s.clause_id) AS limited
-        FROM docs d CROSS JOIN f LEFT JOIN ranked r ON r.document_id = d.document_id AND r.field_name = f.field_name
-        LEFT JOIN sel s ON s.document_id = r.document_id AND s.field_name = r.field_name AND s.clause_id = r.clause_id GROUP BY ALL""",
 }

@@ -166,8 +166,6 @@ ENTRIES: list[tuple[str, str, str, str]] = [
     ("d08_chunk_ids", "Composite chunk identifiers", "SELECT DISTINCT chunk_id, concat_ws(':', document_id, clause_id, concat('p', page_number), concat('c', chunk_index)) AS composite FROM {evidence_chunks}", "SELECT DISTINCT chunk_id, concat_ws(':', document_id, clause_id, 'p' || page_number, 'c' || chunk_index) AS composite FROM evidence_chunks"),
     ("d12_integrity", "Violations: chunk pages outside their clause, duplicate clause ids", f"SELECT (SELECT count(*) FROM (SELECT DISTINCT * FROM {{evidence_chunks}}) e JOIN {C_S} c ON c.document_id = e.document_id AND c.clause_id = e.clause_id WHERE e.page_number NOT BETWEEN c.page_start AND c.page_end) AS bad_pages, (SELECT count(*) FROM (SELECT document_id, clause_id FROM {C_S} GROUP BY document_id, clause_id HAVING count(*) > 1)) AS bad_ids", f"SELECT (SELECT count(*) FROM (SELECT DISTINCT * FROM evidence_chunks) e JOIN {C_D} c ON c.document_id = e.document_id AND c.clause_id = e.clause_id WHERE e.page_number NOT BETWEEN c.page_start AND c.page_end) AS bad_pages, (SELECT count(*) FROM (SELECT document_id, clause_id FROM {C_D} GROUP BY document_id, clause_id HAVING count(*) > 1)) AS bad_ids"),
     ("d13_front_matter", "Non-blank lines of the first three pages, the first 100 of each", f"WITH {LINES_S} SELECT document_id, page_number, line_no, trim(line) AS line FROM lines WHERE page_number <= 3 AND line_no <= 100 AND trim(line) <> ''", f"WITH {LINES_D} SELECT document_id, page_number, line_no, trim(line) AS line FROM lines WHERE page_number <= 3 AND line_no <= 100 AND trim(line) <> ''"),
-    # golden anchors
-    ("r22_anchor_recall", "Anchors of each field with documents of their expected theme, and those whose quotation stands anywhere in the text of one; pages and other documents are not looked at", f"SELECT g.field_name, count(DISTINCT g.item_id) AS n_items, count(DISTINCT CASE WHEN contains(d.text, g.quote) THEN g.item_id END) AS n_found FROM {{golden_anchors}} g JOIN {{documents}} d ON d.category = g.expected_theme GROUP BY g.field_name", "SELECT g.field_name, count(DISTINCT g.item_id) AS n_items, count(DISTINCT CASE WHEN contains(d.text, g.quote) THEN g.item_id END) AS n_found FROM golden_anchors g JOIN documents d ON d.category = g.expected_theme GROUP BY g.field_name"),
     # validation
     ("check_p01_projection", "Documents without their large columns", "SELECT DISTINCT delivery_id, sha256 AS document_id, source_name, stored_at FROM {processed_documents}", "SELECT DISTINCT delivery_id, sha256 AS document_id, source_name, stored_at FROM processed_documents"),
     ("check_p02_range_checks", "Deliveries that break a range constraint", "SELECT delivery_id FROM {processed_documents} WHERE size_bytes <= 0 OR page_count < 1 OR NOT sha256 RLIKE '^[0-9a-f]{{64}}$'", "SELECT delivery_id FROM processed_documents WHERE size_bytes <= 0 OR page_count < 1 OR NOT regexp_matches(sha256, '^[0-9a-f]{64}$')"),
