@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -15,6 +15,12 @@ def replace_children(old: DataFrame, new: DataFrame, parent: str) -> DataFrame:
     return upsert(old, new, [parent])
 
 
+def first_of(df: DataFrame, group: list[str], order: list[str], k: int) -> DataFrame:
+    """The first ``k`` rows of each group in an order."""
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return df.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
+
+
 def overwrite_keys(df: DataFrame, path: str, partition: str) -> None:
     """Write by partition; only partitions that occur in ``df`` are replaced, when the job commits."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)

@@ -108,5 +108,6 @@ def encode_misses(texts: DataFrame, cache: DataFrame, model: str, encoder: Calla
     known = cache.where(F.col("model") == model).select("text_hash", "embedding").dropDuplicates(["text_hash"])
     wanted = hashed.where(F.col("text_hash").isNotNull()).select("text_hash", F.col(text).alias("_t")).join(known.select("text_hash"), "text_hash", "left_anti")
     once = wanted.groupBy("text_hash").agg(F.any_value("_t").alias("_t"))
-    misses = cut(once.select(F.lit(model).alias("model"), "text_hash", unit(encode("_t")).cast("array<float>").alias("embedding")))
+    raw = cut(once.select("text_hash", encode("_t").alias("_v")))  # the encoder runs once, before anything reads its vectors
+    misses = raw.select(F.lit(model).alias("model"), "text_hash", unit(F.col("_v")).cast("array<float>").alias("embedding"))
     return hashed.join(known.unionByName(misses.select("text_hash", "embedding")), "text_hash", "left"), misses

@@ -13,7 +13,7 @@ MONTHS = ("janeiro", "fevereiro", "marco", "abril", "maio", "junho", "julho", "a
 # Currencies by the patterns that name them in plain text.
 CURRENCIES = (("BRL", r"r\$|\bbrl\b|\breais\b|\breal\b"), ("USD", r"us\$|\busd\b|\bdolares\b"), ("EUR", r"€|\beur\b|\beuros?\b"), ("GBP", r"£|\bgbp\b"))
 # Letters that lose their accent.
-ACCENTED, BARE = "áàâãäåéèêëíìîïóòôõöúùûüçñý", "aaaaaaeeeeiiiiooooouuuucny"
+ACCENTED, BARE = "áàâãäåéèêëíìîïóòôõöúùûüçñýÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝ", "aaaaaaeeeeiiiiooooouuuucnyAAAAAAEEEEIIIIOOOOOUUUUCNY"
 
 
 class Dialect:
@@ -136,8 +136,8 @@ class Dialect:
         """All numbers of a text, in either notation."""
         if self.spark:
             raw = self.every(x, r"(?U)(?<![\w])[-+]?[0-9]+(?:[.,][0-9]+)*(?![\w])")
-        else:  # no look-around here: separators are doubled so that each number has its own
-            raw = self.every(self.sub(x, r"([^\p{L}\p{N}_.,+-])", "$1$1"), r"(?:^|[^\p{L}\p{N}_])([-+]?[0-9]+(?:[.,][0-9]+)*)(?:$|[^\p{L}\p{N}_])", 1)
+        else:  # no look-around here: separators are doubled so that each number has its own; a sign behind a word is one
+            raw = self.every(self.sub(self.sub(x, r"([\p{L}\p{N}_])[-+]", "$1 "), r"([^\p{L}\p{N}_.,+-])", "$1$1"), r"(?:^|[^\p{L}\p{N}_])([-+]?[0-9]+(?:[.,][0-9]+)*)(?:$|[^\p{L}\p{N}_])", 1)
         return self.only(self.each(raw, "r", self.amount("r")), "v", "v IS NOT NULL")
 
     def date(self, folded: str) -> str:

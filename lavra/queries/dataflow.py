@@ -8,7 +8,7 @@ from lavra.functions import dims
 from lavra.operators import structure
 from lavra.plans.sql import plan
 from lavra.queries.relational import (
-    BEST_D, BEST_S, C_D, C_S, COMPARED_D, COMPARED_S, DATES, EV_D, EV_S, FE_D, FE_S, FINE, GRP, LINES_D, LINES_S, PG_D, PG_S, RATES, date_d, date_s, fold_d, fold_s, norm_d, norm_s,
+    BEST_D, BEST_S, C_D, C_S, DATES, EV_D, EV_S, FE_D, FE_S, FINE, GRP, LINES_D, LINES_S, PG_D, PG_S, RATES, date_d, date_s, fold_d, fold_s, norm_d, norm_s,
 )
 from lavra.sources.tables import table
 
@@ -16,81 +16,43 @@ from lavra.sources.tables import table
 def both(name: str, doc: str, text: str, **parts: tuple[str, str]) -> tuple[str, str, str, str]:
     """An entry whose texts differ only in named parts, written ``<part>``."""
     spark = duck = text
-    for key, (s, d) in {"C": (C_S, C_D), "FE": (FE_S, FE_D), "PG": (PG_S, PG_D), "EV": (EV_S, EV_D), "BEST": (BEST_S, BEST_D), "COMPARED": (COMPARED_S, COMPARED_D), "LINES": (LINES_S, LINES_D), **parts}.items():
+    for key, (s, d) in {"C": (C_S, C_D), "FE": (FE_S, FE_D), "PG": (PG_S, PG_D), "EV": (EV_S, EV_D), "BEST": (BEST_S, BEST_D), "LINES": (LINES_S, LINES_D), **parts}.items():
         spark, duck = spark.replace(f"<{key}>", s), duck.replace(f"<{key}>", d)
     for t in ("policy_extraction", "processed_documents", "evidence_chunks", "clauses", "page_text", "field_evidence", "events", "golden_anchors", "documents", "embeddings", "orders", "customer"):
         spark, duck = spark.replace(f"[{t}]", "{" + t + "}"), duck.replace(f"[{t}]", t)
     return name, doc, spark, duck
 
 
-COUNT_IF = ("count_if({0})", "count(*) FILTER ({0})")
-
-
 def n_if(condition: str) -> str:
     return f"CAST(sum(CASE WHEN {condition} THEN 1 ELSE 0 END) AS BIGINT)"
 
 
-NO_ADVANTAGE = "('seguradora', 'numero_apolice', 'tomador_segurado', 'moeda', 'vigencia_inicio', 'vigencia_fim', 'data_retroativa')"
 ENTRIES = [
     both("t04_lower_fold", "Lower-case titles without accents, white space kept", "SELECT document_id, clause_id, <f> AS value FROM <C>", f=("translate(lower(title), 'áàâãäéèêëíìîïóòôõöúùûüçñ', 'aaaaaeeeeiiiiooooouuuucn')", "strip_accents(lower(title))")),
     both("t05_words", "Plain words of a title", "SELECT document_id, clause_id, <f> AS value FROM <C>", f=("array_join(regexp_extract_all(translate(lower(title), 'áàâãäéèêëíìîïóòôõöúùûüçñ', 'aaaaaeeeeiiiiooooouuuucn'), '[a-z0-9]+', 0), ' ')", "array_to_string(regexp_extract_all(strip_accents(lower(title)), '[a-z0-9]+'), ' ')")),
-    both("t06_phrase", "Clauses whose text holds the phrase 'terceiro reclamante' as whole words", "SELECT document_id, clause_id FROM <C> WHERE contains(concat(' ', <f>, ' '), ' terceiro reclamante ')", f=(fold_s("text"), fold_d("text"))),
-    both("t16_process_number", "Process numbers in their canonical form", "SELECT document_id, page_number, line_no, <f> AS process FROM (SELECT * FROM l) WHERE <g>", f=("x", "x"), g=("y", "y")),
-    both("t19_number_display", "Numbers for display, with a text for unknown ones", "SELECT evidence_id, coalesce(CAST(CAST(round(confianca * 100) AS INT) AS <str>), 'Não informado') AS shown FROM <FE>", str=("STRING", "VARCHAR")),
     both("t21_signature", "Signature of a document's fields in order", "SELECT document_id, <h> AS signature FROM <BEST> GROUP BY document_id", h=("sha2(array_join(transform(array_sort(collect_list(struct(field_name, evidence_id))), x -> concat(x.field_name, ':', x.evidence_id)), '|'), 256)", "sha256(string_agg(field_name || ':' || evidence_id, '|' ORDER BY field_name, evidence_id))")),
-    both("n04_dates_in_text", "ISO dates a quotation names", "SELECT evidence_id, <n> AS n_dates FROM <FE> WHERE trecho_origem IS NOT NULL", n=("size(array_distinct(regexp_extract_all(trecho_origem, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}', 0)))", "CAST(len(list_distinct(regexp_extract_all(trecho_origem, '[0-9]{4}-[0-9]{2}-[0-9]{2}'))) AS INT)")),
-    both("n10_context_reduction", "How much smaller the chunks of one clause are than their document", "SELECT c.document_id, c.clause_id, round(100 * (1 - c.n / d.n), 6) AS percent FROM (SELECT document_id, clause_id, CAST(length(text) AS DOUBLE) AS n FROM <C>) c JOIN (SELECT document_id, CAST(sum(length(text)) AS DOUBLE) AS n FROM <C> GROUP BY document_id) d ON d.document_id = c.document_id WHERE d.n > 0"),
-    both("n11_scenarios", "Planned calls of each document: pairs of clauses of one category in batches of eight", "SELECT document_id, CAST(sum(ceil(n * (n - 1) / 2.0 / 8)) AS BIGINT) AS calls FROM (SELECT document_id, category, count(*) AS n FROM <C> GROUP BY document_id, category) GROUP BY document_id"),
-    both("n13_scenario_price", "Price by model, with a status where rates are missing", f"WITH {RATES} SELECT e.event_type AS model, count(*) AS n, CASE WHEN count(p_in) < count(*) THEN 'UNVERIFIED' ELSE 'OK' END AS status, round(coalesce(sum(k * p_in), 0) / 1000000, 6) AS price FROM <EV> e LEFT JOIN rates r ON r.model = e.event_type GROUP BY e.event_type"),
-    both("n15_known_subtotal", "Known cost of each user, and whether it is incomplete", f"WITH {RATES} SELECT user_id, round(coalesce(sum(tokens * p_in), 0) / 1000000, 6) AS known, count(*) > count(tokens * p_in) AS incomplete FROM <EV> e LEFT JOIN rates r ON r.model = e.event_type GROUP BY user_id"),
     both("d11_heading_batches", "Unclassified headings in batches of twenty", "SELECT document_id, clause_id, CAST(floor((row_number() OVER (PARTITION BY document_id ORDER BY clause_id) - 1) / 20) AS BIGINT) AS batch FROM <C> WHERE category = 'nao_classificada'"),
     # validation
     both("check_p09_downgrade", "Evidence found but of low confidence becomes ambiguous, nothing else changes", "SELECT evidence_id, CASE WHEN status = 'FOUND' AND coalesce(confianca, 0) < 0.5 THEN 'AMBIGUOUS' ELSE status END AS status FROM <FE>"),
     both("check_p10_valid_ids", "Rows with ill-formed identifiers", "SELECT DISTINCT document_id FROM [clauses] WHERE NOT <f>", f=("(document_id RLIKE '^[0-9a-f]{{64}}$' AND clause_id RLIKE '^clause-[0-9]{{4}}$')", "(regexp_matches(document_id, '^[0-9a-f]{64}$') AND regexp_matches(clause_id, '^clause-[0-9]{4}$'))")),
     both("check_p12_group_view", "Fields of the group LIMITS of each document", f"WITH {GRP} SELECT b.document_id, b.field_name, b.evidence_id FROM <BEST> b JOIN grp g ON g.field_name = b.field_name WHERE g.group_id = 'LIMITS'"),
-    both("check_p14_gated_lines", "Labelled lines of documents that name general conditions", "WITH <LINES>, ok AS (SELECT document_id FROM lines GROUP BY document_id HAVING max(CASE WHEN contains(lower(line), 'condições') THEN 1 ELSE 0 END) = 1) SELECT l.document_id, l.page_number, l.line_no FROM lines l JOIN ok ON ok.document_id = l.document_id WHERE <f>", f=(r"trim(line) RLIKE '^[^:]{{2,40}}: .{{1,250}}$'", r"regexp_matches(trim(line), '^[^:]{2,40}: .{1,250}$')")),
-    both("check_p16_result_validity", "Documents whose evidence lacks a field or repeats one", "SELECT document_id, count(DISTINCT field_name) AS n_fields, count(*) AS n_rows FROM <FE> GROUP BY document_id HAVING count(DISTINCT field_name) <> 12 OR count(*) <> count(DISTINCT field_name)"),
-    both("check_p17_literal_review", "Per status: evidence with a page, and with a page its document has", "SELECT e.status, count(*) AS n, count(e.pagina) AS with_page, count(p.page_number) AS page_exists FROM <FE> e LEFT JOIN (SELECT DISTINCT document_id, page_number FROM [page_text]) p ON p.document_id = e.document_id AND p.page_number = e.pagina GROUP BY e.status"),
     # joins
     both("j02_last_comparison", "Latest extraction of each candidate, null where there is none", "SELECT d.document_id, e.extraction_id FROM (SELECT DISTINCT sha256 AS document_id FROM [processed_documents]) d LEFT JOIN (SELECT document_id, max(extraction_id) AS extraction_id FROM [policy_extraction] GROUP BY document_id) e ON e.document_id = d.document_id"),
     both("j03_review_default", "Review status of each evidence, with a default", "SELECT f.evidence_id, coalesce(r.review, 'Não revisado') AS review FROM <FE> f LEFT JOIN (SELECT DISTINCT document_id, 'Confirmado' AS review FROM [policy_extraction] WHERE side_a = 'sim') r ON r.document_id = f.document_id"),
-    both("j06_chunk_pages", "Chunks with the page they stand on", "SELECT c.chunk_id, min(p.page_id) AS page_id FROM (SELECT DISTINCT chunk_id, document_id, page_number FROM [evidence_chunks]) c JOIN <PG> p ON p.document_id = c.document_id AND p.page_number = c.page_number GROUP BY c.chunk_id"),
     both("j10_rate_lookup", "Events with the rate of their model", f"WITH {RATES} SELECT e.event_id, r.p_in FROM [events] e LEFT JOIN rates r ON r.model = e.event_type"),
     # aggregates
     both("a17_run_counts", "Attempts, completions and unknown outcomes of each run", f"SELECT user_id, count(*) AS attempts, {n_if("event_type = 'purchase'")} AS completed, {n_if("event_type = 'error'")} AS errors, count(*) - {n_if("event_type IN ('purchase', 'error')")} AS unknown FROM [events] GROUP BY user_id"),
-    both("a18_compatibility", "Compatibility of pairs by matching attributes", "WITH a AS (SELECT DISTINCT document_id, seguradora, moeda, base_cobertura, side_a FROM [policy_extraction]), r AS (SELECT seguradora, min(document_id) AS ref_id FROM a WHERE seguradora <> 'nao_localizado' GROUP BY seguradora), p AS (SELECT x.document_id AS ref_id, y.document_id AS cand_id, CASE WHEN x.moeda = y.moeda THEN 1 ELSE 0 END + CASE WHEN x.base_cobertura = y.base_cobertura THEN 1 ELSE 0 END + CASE WHEN x.side_a = y.side_a THEN 1 ELSE 0 END AS matches FROM r JOIN a x ON x.document_id = r.ref_id JOIN a y ON y.seguradora = r.seguradora AND y.document_id <> r.ref_id) SELECT ref_id, cand_id, max(matches) AS matches, CASE WHEN max(matches) = 3 THEN 'Alta' WHEN max(matches) = 2 THEN 'Média' WHEN max(matches) = 1 THEN 'Baixa' ELSE 'Não determinada' END AS status FROM p GROUP BY ref_id, cand_id"),
-    both("a22_field_sets", "Fields of a document by how they were resolved", "SELECT document_id, <a> AS found, <b> AS pending FROM <FE> GROUP BY document_id", a=("array_join(array_sort(collect_set(CASE WHEN status = 'FOUND' THEN field_name END)), '+')", "coalesce(array_to_string(list_sort(list_distinct(list(field_name) FILTER (status = 'FOUND'))), '+'), '')"), b=("array_join(array_sort(collect_set(CASE WHEN status <> 'FOUND' THEN field_name END)), '+')", "coalesce(array_to_string(list_sort(list_distinct(list(field_name) FILTER (status <> 'FOUND'))), '+'), '')")),
-    both("a23_reconciliation", "Deliveries and extractions of each document side by side", "SELECT coalesce(d.document_id, e.document_id) AS document_id, coalesce(d.n, 0) AS deliveries, coalesce(e.n, 0) AS extractions FROM (SELECT sha256 AS document_id, count(DISTINCT delivery_id) AS n FROM [processed_documents] GROUP BY sha256) d FULL OUTER JOIN (SELECT document_id, count(DISTINCT extraction_id) AS n FROM [policy_extraction] GROUP BY document_id) e ON e.document_id = d.document_id"),
     # ordering and sets
-    both("o02_newest_first", "Position of deliveries, newest first", "SELECT delivery_id, row_number() OVER (PARTITION BY source_name ORDER BY stored_at DESC, delivery_id) AS pos FROM (SELECT DISTINCT delivery_id, source_name, stored_at FROM [processed_documents])"),
     both("o04_priority", "Fields of a document in the order of their groups", f"WITH {GRP} SELECT b.document_id, b.field_name, row_number() OVER (PARTITION BY b.document_id ORDER BY coalesce(g.group_id, 'ZZZ'), coalesce(g.field_order, 999), b.field_name) AS pos FROM <BEST> b LEFT JOIN grp g ON g.field_name = b.field_name"),
-    both("u03_overlap", "Query terms each title shares with the field exclusoes", "SELECT document_id, clause_id, <n> AS shared FROM <C>", n=(f"size(array_intersect(split({fold_s('title')}, ' '), array('exclusoes', 'riscos', 'excluidos', 'atos', 'dolosos')))".replace("size(", "coalesce(size(", 1) + ", 0)", f"coalesce(CAST(len(list_intersect(string_split({fold_d('title')}, ' '), ['exclusoes', 'riscos', 'excluidos', 'atos', 'dolosos'])) AS INT), 0)")),
-    both("u04_field_set_equality", "Documents with exactly the expected set of fields", "SELECT document_id FROM (SELECT DISTINCT document_id, field_name FROM [field_evidence]) GROUP BY document_id HAVING count(*) = 12"),
     both("u06_unique_candidates", "Distinct chunks of each document over all clauses", "SELECT document_id, count(DISTINCT chunk_id) AS n_chunks, count(DISTINCT clause_id) AS n_clauses FROM [evidence_chunks] GROUP BY document_id"),
     both("u07_group_translation", "Groups of one registry that share fields with each of the other", f"WITH {GRP}, {FINE} SELECT DISTINCT g.group_id, f.group_id AS finer_group FROM grp g JOIN fine f ON f.field_name = g.field_name"),
-    both("u08_new_promotions", "Users with a purchase who never signed up", "SELECT DISTINCT user_id FROM [events] WHERE event_type = 'purchase' EXCEPT SELECT user_id FROM [events] WHERE event_type = 'signup'"),
     # admission
-    both("x02_two_attempts", "At most two attempts of each user and step", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM [events]) WHERE rn <= 2"),
-    both("x05_error_kind", "Kind of each event by ordered rules", "SELECT event_id, CASE WHEN event_type = 'error' AND value >= 50 THEN 'timeout' WHEN event_type = 'error' AND value >= 10 THEN 'rate_limit' WHEN event_type = 'error' THEN 'provider_error' END AS kind FROM [events]"),
-    both("x07_route", "Model of each attempt: first, second, strongest", "SELECT event_id, CASE WHEN rn = 1 THEN 'primary' WHEN rn = 2 THEN 'fallback' ELSE 'escalation' END AS route FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM [events])"),
     both("l04_status_lattice", "Status of a field over all its evidence, strongest first", "SELECT document_id, field_name, CASE WHEN max(CASE WHEN status = 'TECHNICAL_UNAVAILABLE' THEN 1 ELSE 0 END) = 1 THEN 'TECHNICAL_UNAVAILABLE' WHEN max(CASE WHEN status = 'AMBIGUOUS' THEN 1 ELSE 0 END) = 1 THEN 'AMBIGUOUS' WHEN max(CASE WHEN status = 'FOUND' THEN 1 ELSE 0 END) = 1 THEN 'FOUND' WHEN max(CASE WHEN status = 'NOT_RETRIEVED' THEN 1 ELSE 0 END) = 1 THEN 'NOT_RETRIEVED' ELSE 'NOT_FOUND' END AS status FROM <FE> GROUP BY document_id, field_name"),
     # comparison
-    both("c09_oversize_guard", "Evidence too long to be compared in one step", "SELECT evidence_id, length(coalesce(trecho_origem, '')) > 1600 OR length(coalesce(valor, '')) > 800 AS oversize FROM <FE>"),
     # sinks
-    both("k03_vector_upsert", "Chunks of a document after replacing those of its first clause", "SELECT DISTINCT chunk_id FROM [evidence_chunks] WHERE clause_id <> 'clause-0001' UNION SELECT DISTINCT concat(chunk_id, ':new') FROM [evidence_chunks] WHERE clause_id = 'clause-0001'"),
-    both("k04_delete_document", "Chunks that stay when the first document is deleted", "SELECT DISTINCT e.chunk_id FROM [evidence_chunks] e JOIN (SELECT min(document_id) AS m FROM [evidence_chunks]) f ON e.document_id <> f.m"),
     both("k07_markdown_rows", "Evidence as Markdown table rows", r"SELECT evidence_id, concat('| ', coalesce(field_name, ''), ' | ', coalesce(replace(valor, '|', '\|'), ''), ' |') AS line FROM <FE>".replace("'\\|'", "concat(chr(92), '|')")),
     both("r23_anchor_validation", "Anchors with a missing quotation, page or field", "SELECT item_id FROM [golden_anchors] WHERE quote IS NULL OR trim(quote) = '' OR page_number < 1 OR field_name IS NULL"),
 ]
-ENTRIES = [e for e in ENTRIES if e[0] != "t16_process_number"]
-ENTRIES.append(
-    (
-        "t16_process_number", "Process numbers in a line in their canonical form",
-        f"WITH {LINES_S} SELECT document_id, page_number, line_no, regexp_replace(regexp_extract(line, '([0-9]{{{{5}}}}[.][0-9]{{{{6}}}}/[0-9]{{{{4}}}}-[0-9]{{{{2}}}})', 1), '[./-]', '') AS digits FROM lines WHERE line RLIKE '[0-9]{{{{5}}}}[.][0-9]{{{{6}}}}/[0-9]{{{{4}}}}-[0-9]{{{{2}}}}'".replace("{{{{", "{{").replace("}}}}", "}}"),
-        f"WITH {LINES_D} SELECT document_id, page_number, line_no, regexp_replace(regexp_extract(line, '([0-9]{{5}}[.][0-9]{{6}}/[0-9]{{4}}-[0-9]{{2}})', 1), '[./-]', '', 'g') AS digits FROM lines WHERE regexp_matches(line, '[0-9]{{5}}[.][0-9]{{6}}/[0-9]{{4}}-[0-9]{{2}}')",
-    )
-)
-
 
 def d06_page_provenance(spark, sf_dir):
     """Characters of each clause by page."""
@@ -108,15 +70,21 @@ def o08_batch_packing(spark, sf_dir):
     return structure.pack_in_order(items, "document_id", "clause_id", "n", 6000)
 
 
-def n02_amounts(spark, sf_dir):
-    """Numbers of each value, in either notation."""
-    rows = table(spark, sf_dir, "field_evidence").select("evidence_id", "valor").distinct().where("valor IS NOT NULL")
-    return rows.select("evidence_id", F.array_join(F.transform(structure.amounts_in(F.col("valor")), lambda x: x.cast("string")), "|").alias("amounts"))
-
-
-_SEQUENTIAL = (d06_page_provenance, d07_sub_chunks, o08_batch_packing, n02_amounts)
+_SEQUENTIAL = (d06_page_provenance, d07_sub_chunks, o08_batch_packing)
 QUERIES = {name: plan(name, spark, doc) for name, doc, spark, _ in ENTRIES} | {f.__name__: f for f in _SEQUENTIAL}
 ORACLES = {name: duck for name, _, _, duck in ENTRIES} | {
+    # the rule of windows as a recursion: a window ends before its last space, the next begins 150 before that end
+    "d07_sub_chunks": r"""WITH RECURSIVE b AS (SELECT DISTINCT document_id, clause_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM clauses WHERE text IS NOT NULL),
+        w AS (SELECT document_id, clause_id, body, 0::BIGINT AS start, -1::BIGINT AS stop FROM b WHERE body <> ''
+          UNION ALL SELECT document_id, clause_id, body, CASE WHEN stop < 0 THEN start ELSE skip END, end_ FROM (
+            SELECT *, CASE WHEN pos + 1200 >= length(body) THEN length(body) ELSE CASE WHEN instr(reverse(substring(body, pos + 1, 1200)), ' ') BETWEEN 1 AND 1199 THEN pos + 1200 - instr(reverse(substring(body, pos + 1, 1200)), ' ') ELSE pos + 1200 END END AS end_, pos AS skip
+            FROM (SELECT *, CASE WHEN stop < 0 THEN 0 ELSE greatest(stop - 150, start + 1) + length(substring(body, greatest(stop - 150, start + 1) + 1)) - length(regexp_replace(substring(body, greatest(stop - 150, start + 1) + 1), '^\s+', '')) END AS pos FROM w WHERE stop < length(body))) WHERE pos < length(body))
+        SELECT document_id, clause_id, (row_number() OVER (PARTITION BY document_id, clause_id ORDER BY start) - 1)::INT AS chunk_index, piece AS text FROM (SELECT *, regexp_replace(substring(body, start + 1, stop - start), '^\s+|\s+$', '', 'g') AS piece FROM w WHERE stop >= 0) WHERE piece <> ''""",
+    "o08_batch_packing": """WITH RECURSIVE i AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY clause_id, n) AS rn FROM (SELECT DISTINCT document_id, clause_id, length(text) AS n FROM clauses)),
+        p AS (SELECT document_id, 0::BIGINT AS rn, ''::VARCHAR AS clause_id, 0 AS open, 0::BIGINT AS room, 0 AS batch FROM (SELECT DISTINCT document_id FROM i)
+          UNION ALL SELECT i.document_id, i.rn, i.clause_id, CASE WHEN i.n > 6000 OR i.n <= p.room THEN p.open ELSE p.open + 1 END, CASE WHEN i.n > 6000 THEN p.room WHEN i.n <= p.room THEN p.room - i.n ELSE 6000 - i.n END, CASE WHEN i.n > 6000 THEN -1 WHEN i.n <= p.room THEN p.open ELSE p.open + 1 END
+          FROM p JOIN i ON i.document_id = p.document_id AND i.rn = p.rn + 1)
+        SELECT document_id, clause_id, batch FROM p WHERE rn > 0""",
     "d06_page_provenance": f"""WITH o AS (SELECT document_id, clause_id, page_number, sum(length(text)) OVER (PARTITION BY document_id, clause_id ORDER BY page_number, chunk_index) AS e, length(text) AS n FROM (SELECT DISTINCT document_id, clause_id, page_number, chunk_index, text FROM evidence_chunks))
         SELECT document_id, clause_id, page_number, CAST(min(e - n) AS BIGINT) AS begin, CAST(max(e) AS BIGINT) AS end FROM o JOIN (SELECT DISTINCT document_id, clause_id FROM clauses) USING (document_id, clause_id) GROUP BY ALL""",
 }

@@ -14,12 +14,12 @@ ACC_D = "strip_accents(lower(replace({0}, 'ß', 'ss')))"
 COLLAPSE_S = r"trim(regexp_replace({0}, '\\s+', ' '))"
 COLLAPSE_D = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 
-# clauses as they are, once each
-C_S = "(SELECT DISTINCT * FROM {clauses})"
+# rows once each, without their texts: no text takes part in removing duplicates
+C_S = "(SELECT DISTINCT id, document_id, clause_id, title, category, page_start, page_end FROM {clauses})"
 C_D = "(SELECT DISTINCT * FROM clauses)"
-FE_S = "(SELECT DISTINCT * FROM {field_evidence})"
+FE_S = "(SELECT DISTINCT evidence_id, document_id, source_name, field_name, valor, pagina, confianca, status, trecho_origem IS NULL AS no_quote FROM {field_evidence})"
 FE_D = "(SELECT DISTINCT * FROM field_evidence)"
-PG_S = "(SELECT DISTINCT * FROM {page_text})"
+PG_S = "(SELECT DISTINCT page_id, document_id, page_number, extraction_method FROM {page_text})"
 PG_D = "(SELECT DISTINCT * FROM page_text)"
 
 
@@ -31,9 +31,11 @@ def fold_d(x: str) -> str:
     return COLLAPSE_D.format(ACC_D.format(x))
 
 
+# The shape of a heading, in both dialects.
 HEADING_S = r"(length(trim(line)) BETWEEN 1 AND 140 AND (trim(line) RLIKE '(?i)^(cl[aá]usula\\s+)?[0-9]+(\\.[0-9]+)*[.)\\s-]+[^0-9]' OR (length(regexp_replace(line, '[^\\p{L}]', '')) >= 6 AND regexp_replace(line, '[^\\p{L}]', '') = upper(regexp_replace(line, '[^\\p{L}ªº]', '')))))"
 HEADING_D = r"(length(trim(line)) BETWEEN 1 AND 140 AND (regexp_matches(trim(line), '(?i)^(cl[aá]usula\s+)?[0-9]+(\.[0-9]+)*[.)\s-]+[^0-9]') OR (length(regexp_replace(line, '[^\p{L}]', '', 'g')) >= 6 AND regexp_replace(line, '[^\p{L}]', '', 'g') = upper(regexp_replace(line, '[^\p{L}ªº]', '', 'g')))))"
 
+# Categories by the patterns of a title, in order.
 CATEGORY = [
     ("exclu", "exclusoes"), ("definic|glossario", "definicoes"), ("vigencia|periodo de seguro", "vigencia"), ("limite|franquia|retencao|premio|sublimite", "limites"),
     ("cobertura|garantia|side [abc]|defesa", "coberturas"), ("objeto", "objeto"), ("sinistro|reclamac|notificac", "sinistro"), ("territor|jurisdic", "territorialidade"),
@@ -78,32 +80,6 @@ def currency(x: str, spark: bool) -> str:
     return f"CASE WHEN ({count}) <> 1 THEN NULL " + " ".join(f"WHEN {test(p)} THEN '{c}'" for c, p in codes.items()) + " END"
 
 
-# one reference per insurer, all others its candidates
-PAIR = """
-ex AS (SELECT DISTINCT document_id, seguradora FROM {pe} WHERE seguradora IS NOT NULL AND seguradora <> 'nao_localizado'),
-refs AS (SELECT seguradora, min(document_id) AS ref_id FROM ex GROUP BY seguradora),
-pairs AS (SELECT r.ref_id, e.document_id AS cand_id FROM ex e JOIN refs r ON r.seguradora = e.seguradora WHERE e.document_id <> r.ref_id),
-best AS (SELECT document_id, field_name, {val} AS valor, {quote} AS quote, {status} AS status FROM {best}),
-both_sides AS (SELECT p.ref_id, p.cand_id, a.field_name, a.valor AS value_a, b.valor AS value_b, a.quote AS quote_a, b.quote AS quote_b, a.status AS status_a, b.status AS status_b
-  FROM pairs p JOIN best a ON a.document_id = p.ref_id JOIN best b ON b.document_id = p.cand_id AND b.field_name = a.field_name)"""
-PAIR_ARGS = {"val": "coalesce(valor, 'nao_localizado')", "quote": "coalesce(trecho_origem, 'nao_localizado')", "status": "coalesce(status, 'FOUND')"}
-PAIR_S = PAIR.format(pe="{policy_extraction}", best=BEST_S, **PAIR_ARGS)
-PAIR_D = PAIR.format(pe="policy_extraction", best=BEST_D, **PAIR_ARGS)
-
-
-def cascade(norm, date) -> str:
-    unsure = "('AMBIGUOUS', 'NOT_RETRIEVED', 'TECHNICAL_UNAVAILABLE')"
-    return f"""CASE
-    WHEN value_a = 'nao_localizado' AND value_b = 'nao_localizado' AND status_a NOT IN {unsure} AND status_b NOT IN {unsure} THEN 'nao_localizado_em_ambos'
-    WHEN status_a IN {unsure} OR status_b IN {unsure} THEN 'diferente_nao_comparavel'
-    WHEN value_a = 'nao_localizado' OR value_b = 'nao_localizado' THEN 'ausente_em_um'
-    WHEN field_name IN {MONEY} THEN CASE WHEN {norm('value_a')} = {norm('value_b')} THEN 'igual' ELSE 'diferente_nao_comparavel' END
-    WHEN field_name IN {DATES} THEN CASE WHEN {date('value_a')} = {date('value_b')} THEN 'igual' ELSE 'diferente_nao_comparavel' END
-    WHEN {norm('value_a')} = {norm('value_b')} AND {norm('quote_a')} = {norm('quote_b')} THEN 'igual'
-    WHEN field_name IN {IDENTITY} AND {norm('value_a')} = {norm('value_b')} THEN 'igual'
-    ELSE 'diferente_nao_comparavel' END"""
-
-
 def norm_s(x: str) -> str:
     return COLLAPSE_S.format(f"lower(replace({x}, 'ß', 'ss'))")
 
@@ -112,11 +88,8 @@ def norm_d(x: str) -> str:
     return COLLAPSE_D.format(f"lower(replace({x}, 'ß', 'ss'))")
 
 
-COMPARED_S = f"{PAIR_S}, compared AS (SELECT ref_id, cand_id, field_name, value_a, value_b, {cascade(norm_s, date_s)} AS class FROM both_sides)"
-COMPARED_D = f"{PAIR_D}, compared AS (SELECT ref_id, cand_id, field_name, value_a, value_b, {cascade(norm_d, date_d)} AS class FROM both_sides)"
-LINES_S = f"lines AS (SELECT document_id, page_number, pos + 1 AS line_no, line FROM {PG_S} LATERAL VIEW posexplode(split(text, '\\n')) t AS pos, line WHERE text IS NOT NULL)"
+LINES_S = f"lines AS (SELECT document_id, page_number, pos + 1 AS line_no, line FROM {{page_text}} LATERAL VIEW posexplode(split(text, '\\n')) t AS pos, line WHERE text IS NOT NULL)"
 LINES_D = f"lines AS (SELECT document_id, page_number, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, unnest(string_split(text, chr(10))) AS line FROM {PG_D} WHERE text IS NOT NULL)"
-SECTIONS = "marked AS (SELECT *, {heading} AS heading FROM lines), sections AS (SELECT *, greatest(1, sum(CASE WHEN heading THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY page_number, line_no ROWS UNBOUNDED PRECEDING) + {first}) AS section FROM marked)"
 FIRST = "max(CASE WHEN page_line = 1 AND NOT heading THEN 1 ELSE 0 END) OVER (PARTITION BY document_id)"
 
 
@@ -127,7 +100,7 @@ marked AS (SELECT *, {heading} AS heading, row_number() OVER (PARTITION BY docum
 sections AS (SELECT *, sum(CASE WHEN heading THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY page_number, line_no ROWS UNBOUNDED PRECEDING) + {FIRST} AS section FROM marked)"""
 
 
-SECTIONS_S, SECTIONS_D = sections(HEADING_S, LINES_S), sections(HEADING_D, LINES_D)
+SECTIONS_S, SECTIONS_D = sections(HEADING_S, LINES_S).replace("FROM lines)", "FROM (SELECT DISTINCT * FROM lines))"), sections(HEADING_D, LINES_D)
 GRP = dims.values_sql(dims.group_rows(dims.GROUPS), "grp", "group_id, field_name, field_order")
 FINE = dims.values_sql(dims.group_rows(dims.FINER_GROUPS), "fine", "group_id, field_name, field_order")
 RATES = "rates(model, p_in, p_out) AS (VALUES ('click', CAST(0.25 AS DOUBLE), CAST(2.0 AS DOUBLE)), ('view', CAST(1.25 AS DOUBLE), CAST(10.0 AS DOUBLE)), ('purchase', CAST(5.0 AS DOUBLE), CAST(30.0 AS DOUBLE)))"
@@ -137,26 +110,17 @@ ENTRIES: list[tuple[str, str, str, str]] = [
     ("t01_normalize", "Case-folded titles with single spaces", f"SELECT document_id, clause_id, {norm_s('title')} AS value FROM {C_S}", f"SELECT document_id, clause_id, {norm_d('title')} AS value FROM {C_D}"),
     ("t02_fold", "Folded titles without accents", f"SELECT document_id, clause_id, {fold_s('title')} AS value FROM {C_S}", f"SELECT document_id, clause_id, {fold_d('title')} AS value FROM {C_D}"),
     ("t07_term_counts", "Words of a title with their counts", f"SELECT term, count(*) AS n FROM (SELECT explode(split({fold_s('title')}, ' ')) AS term FROM {C_S} WHERE title IS NOT NULL) GROUP BY term", f"SELECT term, count(*) AS n FROM (SELECT unnest(string_split({fold_d('title')}, ' ')) AS term FROM {C_D} WHERE title IS NOT NULL) GROUP BY term"),
-    ("t08_citation_whitespace", "Quotations with single spaces, letters kept", r"SELECT evidence_id, trim(regexp_replace(trecho_origem, '[ \\n\\t]+', ' ')) AS value FROM " + FE_S, r"SELECT evidence_id, trim(regexp_replace(trecho_origem, '[ \n\t]+', ' ', 'g')) AS value FROM " + FE_D),
     ("t09_markdown_escape", "Values escaped for Markdown", r"SELECT evidence_id, replace(regexp_replace(valor, '([\\\\*_{{}}\\[\\]<>#|])', '\\\\$1'), chr(96), concat(chr(92), chr(96))) AS value FROM " + FE_S, r"SELECT evidence_id, replace(regexp_replace(valor, '([\\*_{}\[\]<>#|])', '\\\1', 'g'), chr(96), chr(92) || chr(96)) AS value FROM " + FE_D),
     ("t10_citation", "Citation of a source and page", f"SELECT evidence_id, CASE WHEN pagina IS NULL THEN concat(source_name, ': nao_localizado (sem página inferida)') ELSE concat(source_name, ', p. ', pagina) END AS value FROM {FE_S}", f"SELECT evidence_id, CASE WHEN pagina IS NULL THEN source_name || ': nao_localizado (sem página inferida)' ELSE source_name || ', p. ' || pagina END AS value FROM {FE_D}"),
     ("t11_sha256", "Hash of each text", f"SELECT DISTINCT chunk_id, sha2(text, 256) AS digest FROM {{evidence_chunks}}", "SELECT DISTINCT chunk_id, sha256(text) AS digest FROM evidence_chunks"),
-    ("t12_contents_line", "Clauses with lines of a table of contents", r"SELECT document_id, clause_id FROM " + C_S + r" WHERE text RLIKE '\\.{{3,}}\\s*[0-9]+'", r"SELECT document_id, clause_id FROM " + C_D + r" WHERE regexp_matches(text, '\.{3,}\s*[0-9]+')"),
     ("t13_safe_identifier", "Whether a cache key is a safe identifier", "SELECT delivery_id, coalesce(cache_key RLIKE '^[A-Za-z0-9][A-Za-z0-9_.:-]{{0,127}}$', false) AS safe FROM {processed_documents}", "SELECT delivery_id, coalesce(regexp_matches(cache_key, '^[A-Za-z0-9][A-Za-z0-9_.:-]{0,127}$'), false) AS safe FROM processed_documents"),
-    ("t18_title_disambiguation", "File titles made unique where a title repeats", "SELECT delivery_id, CASE WHEN count(*) OVER (PARTITION BY source_name) > 1 THEN concat(source_name, ' (', file_name, ')') ELSE source_name END AS title FROM (SELECT DISTINCT * FROM {processed_documents})", "SELECT delivery_id, CASE WHEN count(*) OVER (PARTITION BY source_name) > 1 THEN source_name || ' (' || file_name || ')' ELSE source_name END AS title FROM (SELECT DISTINCT * FROM processed_documents)"),
     # numeric, currency, date scalars
     ("n01_currency", "The only currency a value names", f"SELECT evidence_id, {currency('f', True)} AS code FROM (SELECT evidence_id, {fold_s('valor')} AS f FROM {FE_S})", f"SELECT evidence_id, {currency('f', False)} AS code FROM (SELECT evidence_id, {fold_d('valor')} AS f FROM {FE_D})"),
-    ("n03_parsed_date", "Plain dates of values", f"SELECT evidence_id, CAST({date_s('valor')} AS STRING) AS day FROM {FE_S} WHERE field_name IN {DATES}", f"SELECT evidence_id, CAST({date_d('valor')} AS VARCHAR) AS day FROM {FE_D} WHERE field_name IN {DATES}"),
     ("n06_day_distance", "Distance of deliveries of a document by bucket", "SELECT sha256, CASE WHEN d <= 366 THEN 'ate_um_ano' WHEN d <= 1098 THEN 'ate_tres_anos' ELSE 'mais' END AS bucket FROM (SELECT sha256, datediff(max(processed_at), min(processed_at)) AS d FROM {processed_documents} GROUP BY sha256)", "SELECT sha256, CASE WHEN d <= 366 THEN 'ate_um_ano' WHEN d <= 1098 THEN 'ate_tres_anos' ELSE 'mais' END AS bucket FROM (SELECT sha256, datediff('day', min(processed_at), max(processed_at)) AS d FROM processed_documents GROUP BY sha256)"),
-    ("n07_token_estimate", "Estimated tokens and reserved bytes of a clause", f"SELECT document_id, clause_id, CAST(ceil(length(text) / 3.5) + 1000 AS BIGINT) AS tokens, CAST(octet_length(text) + 1000 AS BIGINT) AS reserve FROM {C_S}", f"SELECT document_id, clause_id, CAST(ceil(length(text) / 3.5) + 1000 AS BIGINT) AS tokens, CAST(strlen(text) + 1000 AS BIGINT) AS reserve FROM {C_D}"),
-    ("n08_cost", "Cost by model; unknown where any part is", f"WITH {RATES} SELECT event_type AS model, CASE WHEN count(*) = count(tokens) AND count(*) = count(p_in) THEN round(sum(tokens * p_in + value * p_out) / 1000000, 6) END AS cost FROM {EV_S} e LEFT JOIN rates r ON r.model = e.event_type GROUP BY event_type", f"WITH {RATES} SELECT event_type AS model, CASE WHEN count(*) = count(tokens) AND count(*) = count(p_in) THEN round(sum(tokens * p_in + value * p_out) / 1000000, 6) END AS cost FROM {EV_D} e LEFT JOIN rates r ON r.model = e.event_type GROUP BY event_type"),
     ("n09_valid_numbers", "Confidences that are numbers from 0 to 1", f"SELECT evidence_id, CASE WHEN confianca >= 0 AND confianca <= 1 THEN confianca END AS confidence FROM {FE_S}", f"SELECT evidence_id, CASE WHEN confianca >= 0 AND confianca <= 1 THEN confianca END AS confidence FROM {FE_D}"),
-    ("n12_corpus_size", "Chunks, heading batches and characters of each document", f"SELECT document_id, count(*) AS n_chunks, CAST(ceil(count_if(category = 'nao_classificada') / 20) AS BIGINT) AS heading_batches, sum(length(text)) AS n_chars FROM {C_S} GROUP BY document_id", f"SELECT document_id, count(*) AS n_chunks, CAST(ceil(count(*) FILTER (category = 'nao_classificada') / 20) AS BIGINT) AS heading_batches, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM {C_D} GROUP BY document_id"),
     # structuring
-    ("d01_lines", "Lines of all pages", f"WITH {LINES_S} SELECT document_id, page_number, line_no, sha2(line, 256) AS line_hash FROM lines", f"WITH {LINES_D} SELECT document_id, page_number, line_no, sha256(line) AS line_hash FROM lines"),
-    ("d02_headings", "Heading lines", f"WITH {LINES_S} SELECT document_id, page_number, line_no FROM lines WHERE {HEADING_S}", f"WITH {LINES_D} SELECT document_id, page_number, line_no FROM lines WHERE {HEADING_D}"),
+    ("d01_lines", "Lines of all pages", f"WITH {LINES_S} SELECT DISTINCT document_id, page_number, line_no, sha2(line, 256) AS line_hash FROM lines", f"WITH {LINES_D} SELECT document_id, page_number, line_no, sha256(line) AS line_hash FROM lines"),
     ("d03_category", "Category of a title, first matching rule", f"SELECT document_id, clause_id, {CATEGORY_S} AS category FROM (SELECT document_id, clause_id, coalesce({fold_s('title')}, '') AS f FROM {C_S})", f"SELECT document_id, clause_id, {CATEGORY_D} AS category FROM (SELECT document_id, clause_id, coalesce({fold_d('title')}, '') AS f FROM {C_D})"),
-    ("d04_sections", "Section number and first line of each section", f"WITH {SECTIONS_S} SELECT document_id, section, min(page_number) AS page_start, max(page_number) AS page_end, count(*) AS n_lines FROM sections GROUP BY document_id, section", f"WITH {SECTIONS_D} SELECT document_id, CAST(section AS BIGINT) AS section, min(page_number) AS page_start, max(page_number) AS page_end, count(*) AS n_lines FROM sections GROUP BY document_id, section"),
     ("d05_fixed_chunks", "Section text cut at multiples of 400 characters, blank chunks dropped, then numbered", f"""WITH {SECTIONS_S}, texts AS (SELECT document_id, section, array_join(transform(array_sort(collect_list(struct(page_number, line_no, line))), x -> x.line), '\\n') AS text FROM sections GROUP BY document_id, section),
         cut AS (SELECT document_id, section, k, substring(text, k * 400 + 1, 400) AS piece FROM texts LATERAL VIEW explode(sequence(0, greatest(0, CAST(ceil(length(text) / 400) AS INT) - 1))) t AS k)
         SELECT document_id, concat('clause-', lpad(CAST(row_number() OVER (PARTITION BY document_id ORDER BY section, k) AS STRING), 4, '0')) AS clause_id, sha2(piece, 256) AS digest FROM cut WHERE piece RLIKE '\\\\S'""",
@@ -164,15 +128,11 @@ ENTRIES: list[tuple[str, str, str, str]] = [
         cut AS (SELECT document_id, section, k, substring(text, k * 400 + 1, 400) AS piece FROM (SELECT *, unnest(range(0, greatest(1, CAST(ceil(length(text) / 400) AS BIGINT)))) AS k FROM texts))
         SELECT document_id, 'clause-' || lpad(CAST(row_number() OVER (PARTITION BY document_id ORDER BY section, k) AS VARCHAR), 4, '0') AS clause_id, sha256(piece) AS digest FROM cut WHERE regexp_matches(piece, '\\S')"""),
     ("d08_chunk_ids", "Composite chunk identifiers", "SELECT DISTINCT chunk_id, concat_ws(':', document_id, clause_id, concat('p', page_number), concat('c', chunk_index)) AS composite FROM {evidence_chunks}", "SELECT DISTINCT chunk_id, concat_ws(':', document_id, clause_id, 'p' || page_number, 'c' || chunk_index) AS composite FROM evidence_chunks"),
-    ("d12_integrity", "Violations: chunk pages outside their clause, duplicate clause ids", f"SELECT (SELECT count(*) FROM (SELECT DISTINCT * FROM {{evidence_chunks}}) e JOIN {C_S} c ON c.document_id = e.document_id AND c.clause_id = e.clause_id WHERE e.page_number NOT BETWEEN c.page_start AND c.page_end) AS bad_pages, (SELECT count(*) FROM (SELECT document_id, clause_id FROM {C_S} GROUP BY document_id, clause_id HAVING count(*) > 1)) AS bad_ids", f"SELECT (SELECT count(*) FROM (SELECT DISTINCT * FROM evidence_chunks) e JOIN {C_D} c ON c.document_id = e.document_id AND c.clause_id = e.clause_id WHERE e.page_number NOT BETWEEN c.page_start AND c.page_end) AS bad_pages, (SELECT count(*) FROM (SELECT document_id, clause_id FROM {C_D} GROUP BY document_id, clause_id HAVING count(*) > 1)) AS bad_ids"),
-    ("d13_front_matter", "Non-blank lines of the first three pages, the first 100 of each", f"WITH {LINES_S} SELECT document_id, page_number, line_no, trim(line) AS line FROM lines WHERE page_number <= 3 AND line_no <= 100 AND trim(line) <> ''", f"WITH {LINES_D} SELECT document_id, page_number, line_no, trim(line) AS line FROM lines WHERE page_number <= 3 AND line_no <= 100 AND trim(line) <> ''"),
     # validation
     ("check_p01_projection", "Documents without their large columns", "SELECT DISTINCT delivery_id, sha256 AS document_id, source_name, stored_at FROM {processed_documents}", "SELECT DISTINCT delivery_id, sha256 AS document_id, source_name, stored_at FROM processed_documents"),
     ("check_p02_range_checks", "Deliveries that break a range constraint", "SELECT delivery_id FROM {processed_documents} WHERE size_bytes <= 0 OR page_count < 1 OR NOT sha256 RLIKE '^[0-9a-f]{{64}}$'", "SELECT delivery_id FROM processed_documents WHERE size_bytes <= 0 OR page_count < 1 OR NOT regexp_matches(sha256, '^[0-9a-f]{64}$')"),
-    ("check_p03_all_or_nothing", "Evidence that is neither wholly located nor wholly missing", f"SELECT evidence_id FROM {FE_S} WHERE CASE WHEN coalesce(valor, 'nao_localizado') = 'nao_localizado' THEN pagina IS NOT NULL ELSE pagina IS NULL OR trecho_origem IS NULL OR coalesce(confianca, 0) <= 0 END", f"SELECT evidence_id FROM {FE_D} WHERE CASE WHEN coalesce(valor, 'nao_localizado') = 'nao_localizado' THEN pagina IS NOT NULL ELSE pagina IS NULL OR trecho_origem IS NULL OR coalesce(confianca, 0) <= 0 END"),
+    ("check_p03_all_or_nothing", "Evidence that is neither wholly located nor wholly missing", f"SELECT evidence_id FROM {FE_S} WHERE CASE WHEN coalesce(valor, 'nao_localizado') = 'nao_localizado' THEN pagina IS NOT NULL ELSE pagina IS NULL OR no_quote OR coalesce(confianca, 0) <= 0 END", f"SELECT evidence_id FROM {FE_D} WHERE CASE WHEN coalesce(valor, 'nao_localizado') = 'nao_localizado' THEN pagina IS NOT NULL ELSE pagina IS NULL OR trecho_origem IS NULL OR coalesce(confianca, 0) <= 0 END"),
     ("check_p04_status_consistency", "Evidence whose status contradicts its value", f"SELECT evidence_id FROM {FE_S} WHERE (status = 'FOUND' AND coalesce(valor, 'nao_localizado') = 'nao_localizado') OR (status LIKE 'NOT_%' AND coalesce(valor, 'nao_localizado') <> 'nao_localizado')", f"SELECT evidence_id FROM {FE_D} WHERE (status = 'FOUND' AND coalesce(valor, 'nao_localizado') = 'nao_localizado') OR (status LIKE 'NOT_%' AND coalesce(valor, 'nao_localizado') <> 'nao_localizado')"),
-    ("check_p05_literal_quotes", "Whether a located quotation stands literally on its page", f"SELECT e.evidence_id, max(CASE WHEN contains({norm_s('p.text')}, {norm_s('e.trecho_origem')}) THEN 1 ELSE 0 END) AS literal FROM {FE_S} e LEFT JOIN {PG_S} p ON p.document_id = e.document_id AND p.page_number = e.pagina WHERE e.pagina IS NOT NULL AND e.trecho_origem IS NOT NULL GROUP BY e.evidence_id", f"SELECT e.evidence_id, max(CASE WHEN contains({norm_d('p.text')}, {norm_d('e.trecho_origem')}) THEN 1 ELSE 0 END) AS literal FROM {FE_D} e LEFT JOIN {PG_D} p ON p.document_id = e.document_id AND p.page_number = e.pagina WHERE e.pagina IS NOT NULL AND e.trecho_origem IS NOT NULL GROUP BY e.evidence_id"),
-    ("check_p08_labelled_lines", "Lines of a label and a value of at most 250 characters", f"WITH {LINES_S} SELECT document_id, page_number, line_no, regexp_extract(trim(line), '^([^:]{{{{2,40}}}}?)\\\\s*:\\\\s*(.{{{{1,250}}}})$', 1) AS label, regexp_extract(trim(line), '^([^:]{{{{2,40}}}}?)\\\\s*:\\\\s*(.{{{{1,250}}}})$', 2) AS value FROM lines WHERE trim(line) RLIKE '^([^:]{{{{2,40}}}}?)\\\\s*:\\\\s*(.{{{{1,250}}}})$'".replace("{{{{", "{{").replace("}}}}", "}}"), f"WITH {LINES_D} SELECT document_id, page_number, line_no, regexp_extract(trim(line), '^([^:]{{2,40}}?)\\s*:\\s*(.{{1,250}})$', 1) AS label, regexp_extract(trim(line), '^([^:]{{2,40}}?)\\s*:\\s*(.{{1,250}})$', 2) AS value FROM lines WHERE regexp_matches(trim(line), '^([^:]{{2,40}}?)\\s*:\\s*(.{{1,250}})$')"),
     ("check_p15_pending_fields", "Fields of a document still to be worked on", f"SELECT document_id, field_name FROM {BEST_S} WHERE valor IS NULL OR valor = 'nao_localizado' OR status IN ('AMBIGUOUS', 'NOT_RETRIEVED') OR coalesce(confianca, 0) < 0.5", f"SELECT document_id, field_name FROM {BEST_D} WHERE valor IS NULL OR valor = 'nao_localizado' OR status IN ('AMBIGUOUS', 'NOT_RETRIEVED') OR coalesce(confianca, 0) < 0.5"),
     ("check_p18_required_fields", "Documents without a located required field", f"SELECT DISTINCT x.document_id, r.field_name FROM {FE_S} x JOIN (VALUES ('seguradora'), ('numero_apolice'), ('limite_maximo_garantia')) r(field_name) LEFT ANTI JOIN {FE_S} f ON f.document_id = x.document_id AND f.field_name = r.field_name AND f.status = 'FOUND'", f"SELECT DISTINCT x.document_id, r.field_name FROM {FE_D} x, (VALUES ('seguradora'), ('numero_apolice'), ('limite_maximo_garantia')) r(field_name) WHERE NOT EXISTS (SELECT 1 FROM field_evidence f WHERE f.document_id = x.document_id AND f.field_name = r.field_name AND f.status = 'FOUND')"),
     # joins
@@ -187,10 +147,8 @@ ENTRIES: list[tuple[str, str, str, str]] = [
     ("a02_counters", "Requests of unknown usage and failures by user", f"SELECT user_id, count_if(tokens IS NULL) AS unknown_usage, count_if(event_type = 'error') AS failures FROM {EV_S} GROUP BY user_id", f"SELECT user_id, count(*) FILTER (tokens IS NULL) AS unknown_usage, count(*) FILTER (event_type = 'error') AS failures FROM {EV_D} GROUP BY user_id"),
     ("a03_by_model", "Totals by model", f"SELECT event_type AS model, count(*) AS requests, coalesce(sum(tokens), 0) AS known_tokens FROM {EV_S} GROUP BY event_type", f"SELECT event_type AS model, count(*) AS requests, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS known_tokens FROM {EV_D} GROUP BY event_type"),
     ("a04_latency", "Interpolated median and nearest-rank 95th percentile", "SELECT event_type AS model, round(percentile(value, 0.5), 6) AS median_value, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS p95 FROM {events} GROUP BY event_type", "SELECT event_type AS model, round(quantile_cont(value, 0.5), 6) AS median_value, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type"),
-    ("a05_event_dedup", "Last event of each identity", f"SELECT user_id, k, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY event_id DESC) AS rn FROM {EV_S}) WHERE rn = 1", f"SELECT user_id, k, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY event_id DESC) AS rn FROM {EV_D}) WHERE rn = 1"),
     ("a06_canonical_events", "Cached parts larger than the whole are unknown", f"SELECT event_id, k, CASE WHEN value > k THEN NULL ELSE value END AS cached, CASE WHEN value > k THEN NULL ELSE round(k - value, 6) END AS uncached FROM {EV_S}", f"SELECT event_id, k, CASE WHEN value > k THEN NULL ELSE value END AS cached, CASE WHEN value > k THEN NULL ELSE round(k - value, 6) END AS uncached FROM {EV_D}"),
     ("a07_session_totals", "Session totals over globally distinct events", f"SELECT count(DISTINCT user_id) AS runs, count(*) AS events FROM (SELECT user_id, k, max(event_id) AS event_id FROM {EV_S} GROUP BY user_id, k)", f"SELECT count(DISTINCT user_id) AS runs, count(*) AS events FROM (SELECT user_id, k, max(event_id) AS event_id FROM {EV_D} GROUP BY user_id, k)"),
-    ("a08_request_summary", "Requests, failure share and categories by model", "SELECT event_type AS model, count(*) AS requests, round(100.0D * count_if(value < 5) / count(*), 6) AS low_percent FROM {events} GROUP BY event_type", "SELECT event_type AS model, count(*) AS requests, round(100.0::DOUBLE * count(*) FILTER (value < 5) / count(*), 6) AS low_percent FROM events GROUP BY event_type"),
     ("a09_distinct_tiers", "Sorted set of event types of a user", "SELECT user_id, array_join(array_sort(collect_set(event_type)), '+') AS tiers FROM {events} GROUP BY user_id", "SELECT user_id, array_to_string(list_sort(list_distinct(list(event_type))), '+') AS tiers FROM events GROUP BY user_id"),
     ("a13_consolidation", "Evidence of highest confidence a field, and whether values conflict", f"SELECT b.document_id, b.field_name, b.evidence_id, n.k > 1 AS conflict FROM {BEST_S} b JOIN (SELECT document_id, field_name, count(DISTINCT {norm_s('valor')}) AS k FROM {FE_S} GROUP BY document_id, field_name) n ON n.document_id = b.document_id AND n.field_name = b.field_name", f"SELECT b.document_id, b.field_name, b.evidence_id, n.k > 1 AS conflict FROM {BEST_D} b JOIN (SELECT document_id, field_name, count(DISTINCT {norm_d('valor')}) AS k FROM {FE_D} GROUP BY document_id, field_name) n ON n.document_id = b.document_id AND n.field_name = b.field_name"),
     ("a14_metadata_resolution", "Language and source of a document where all deliveries agree", "SELECT sha256, CASE WHEN count(DISTINCT lang) = 1 THEN min(lang) END AS lang, CASE WHEN count(DISTINCT source_name) = 1 THEN min(source_name) END AS source_name, count(DISTINCT source_name) > 1 AS conflict FROM {processed_documents} GROUP BY sha256", "SELECT sha256, CASE WHEN count(DISTINCT lang) = 1 THEN min(lang) END AS lang, CASE WHEN count(DISTINCT source_name) = 1 THEN min(source_name) END AS source_name, count(DISTINCT source_name) > 1 AS conflict FROM processed_documents GROUP BY sha256"),
@@ -205,20 +163,12 @@ ENTRIES: list[tuple[str, str, str, str]] = [
     # sets
     ("u01_stale_ids", "Chunks of the store whose clause is gone", f"SELECT document_id, clause_id FROM {{evidence_chunks}} EXCEPT SELECT document_id, clause_id FROM {{clauses}}", "SELECT document_id, clause_id FROM evidence_chunks EXCEPT SELECT document_id, clause_id FROM clauses"),
     ("u02_page_union", "Distinct pages of all candidates of a document", "SELECT document_id, array_join(array_sort(collect_set(page_number)), ',') AS pages FROM {evidence_chunks} GROUP BY document_id", "SELECT document_id, array_to_string(list_sort(list_distinct(list(page_number))), ',') AS pages FROM evidence_chunks GROUP BY document_id"),
-    ("u05_content_dedup", "First delivery of each content", "SELECT sha256, min(delivery_id) AS delivery_id, count(DISTINCT delivery_id) AS n FROM {processed_documents} GROUP BY sha256", "SELECT sha256, min(delivery_id) AS delivery_id, count(DISTINCT delivery_id) AS n FROM processed_documents GROUP BY sha256"),
     # admission control
     ("x01_budget", "The first fifty requests of each run are admitted", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM {events}) WHERE rn <= 50", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) WHERE rn <= 50"),
-    ("x03_circuit_breaker", "First event that opens a user's circuit: three failures in a row, or two of a full last ten", "WITH f AS (SELECT user_id, event_id, CAST(event_type = 'error' AS INT) AS bad, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM {events}), g AS (SELECT *, sum(bad) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS ten, sum(bad) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS three FROM f) SELECT user_id, min(event_id) AS opened_at FROM g WHERE three = 3 OR (n >= 10 AND ten >= 2) GROUP BY user_id", "WITH f AS (SELECT user_id, event_id, CAST(event_type = 'error' AS INT) AS bad, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), g AS (SELECT *, sum(bad) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS ten, sum(bad) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS three FROM f) SELECT user_id, min(event_id) AS opened_at FROM g WHERE three = 3 OR (n >= 10 AND ten >= 2) GROUP BY user_id"),
-    ("x04_failure_category", "Category of each status", f"SELECT status, CASE WHEN status = 'TECHNICAL_UNAVAILABLE' THEN 'PROVIDER_TRANSPORT_FAILURE' WHEN status IN ('AMBIGUOUS', 'EVIDENCE_INVALID') THEN 'SEMANTIC_QUALITY_FAILURE' END AS category, count(*) AS n FROM {FE_S} GROUP BY status", f"SELECT status, CASE WHEN status = 'TECHNICAL_UNAVAILABLE' THEN 'PROVIDER_TRANSPORT_FAILURE' WHEN status IN ('AMBIGUOUS', 'EVIDENCE_INVALID') THEN 'SEMANTIC_QUALITY_FAILURE' END AS category, count(*) AS n FROM {FE_D} GROUP BY status"),
-    ("x08_unsafe_runs", "Runs with attempts that never completed", "SELECT user_id, count(*) AS attempts, count_if(event_type = 'error') AS uncertain FROM {events} GROUP BY user_id HAVING count_if(event_type = 'error') > 0 OR count_if(event_type = 'purchase') = 0", "SELECT user_id, count(*) AS attempts, count(*) FILTER (event_type = 'error') AS uncertain FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'error') > 0 OR count(*) FILTER (event_type = 'purchase') = 0"),
     ("x10_resume", "Pages still to be recognised: those without text", "SELECT DISTINCT p.document_id, p.page_number FROM {page_text} p LEFT ANTI JOIN (SELECT document_id, page_number FROM {page_text} WHERE trim(text) <> '') d ON d.document_id = p.document_id AND d.page_number = p.page_number", "SELECT DISTINCT document_id, page_number FROM page_text p WHERE NOT EXISTS (SELECT 1 FROM page_text d WHERE trim(d.text) <> '' AND d.document_id = p.document_id AND d.page_number = p.page_number)"),
     # comparison
     # sinks as the tables they would leave
-    ("k02_upsert", "Latest extraction of each document after a merge", "SELECT document_id, extraction_id FROM (SELECT document_id, extraction_id, row_number() OVER (PARTITION BY document_id ORDER BY stored_at DESC, extraction_id DESC) AS rn FROM {policy_extraction}) WHERE rn = 1", "SELECT document_id, extraction_id FROM (SELECT document_id, extraction_id, row_number() OVER (PARTITION BY document_id ORDER BY stored_at DESC, extraction_id DESC) AS rn FROM policy_extraction) WHERE rn = 1"),
     ("k05_csv_escape", "Values safe for a spreadsheet", r"SELECT evidence_id, CASE WHEN valor RLIKE '^\\s*[=+@-]' OR valor RLIKE '^[\\t\\r\\n]' THEN concat(chr(39), valor) ELSE valor END AS cell FROM " + FE_S, r"SELECT evidence_id, CASE WHEN regexp_matches(valor, '^\s*[=+@-]') OR regexp_matches(valor, '^[\t\r\n]') THEN chr(39) || valor ELSE valor END AS cell FROM " + FE_D),
-    ("s05_ocr_routing", "Pages whose native text is too short and go to recognition", f"SELECT page_id, CASE WHEN length(trim(coalesce(text, ''))) < 40 THEN 'tesseract' ELSE 'native' END AS route FROM {PG_S}", f"SELECT page_id, CASE WHEN length(trim(coalesce(text, ''))) < 40 THEN 'tesseract' ELSE 'native' END AS route FROM {PG_D}"),
-    ("s08_safe_names", "File names without reserved characters, cut to 150", r"SELECT delivery_id, substring(trim(BOTH ' .' FROM regexp_replace(file_name, '[<>:\"/\\\\|?*\\x00-\\x1f]', '_')), 1, 150) AS name FROM {processed_documents}", r"SELECT delivery_id, substring(trim(regexp_replace(file_name, '[<>:" + '"' + r"/\\|?*\x00-\x1f]', '_', 'g'), ' .'), 1, 150) AS name FROM processed_documents"),
-    ("s15_point_scan", "Chunks of a document in reading order, by key", "SELECT e.document_id, count(*) AS n, min(e.chunk_id) AS first_chunk FROM (SELECT DISTINCT document_id, chunk_id FROM {evidence_chunks}) e JOIN (SELECT min(document_id) AS document_id FROM {clauses}) k ON k.document_id = e.document_id GROUP BY e.document_id", "SELECT document_id, count(DISTINCT chunk_id) AS n, min(chunk_id) AS first_chunk FROM evidence_chunks WHERE document_id = (SELECT min(document_id) FROM clauses) GROUP BY document_id"),
     # vectors
     ("v05_dimensions", "Vectors by dimension, and those that are no unit vectors", "SELECT size(embedding) AS dims, count(*) AS n, count_if(abs(sqrt(aggregate(embedding, 0D, (s, x) -> s + CAST(x AS DOUBLE) * x)) - 1) > 0.00001) AS not_unit FROM {embeddings} GROUP BY size(embedding)", "SELECT len(embedding)::INT AS dims, count(*) AS n, count(*) FILTER (abs(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) - 1) > 0.00001) AS not_unit FROM embeddings GROUP BY 1"),
 ]
