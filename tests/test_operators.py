@@ -62,6 +62,12 @@ def test_repair_json(text, out):
     assert structure.repair_json(text) == out
 
 
+def test_repair_json_is_strict_and_linear():
+    assert structure.repair_json('{"a": NaN}') is None and structure.repair_json('"' + "x" * 300_000 + '"') is None
+    assert structure.repair_json('{"a": 1}', True) is None and structure.repair_json('{"a": 1,}', True) == '{"a": 1}'
+    assert structure.repair_json("[" + ", " * 100_000 + "]") is None
+
+
 def test_top_k(spark):
     rng = random.Random(4)
     rows = [(k, [rng.random() - 0.5 for _ in range(5)], k % 3) for k in range(60)]
