@@ -116,10 +116,13 @@ def is_heading(line: str) -> bool:
     return bool(_NUMBERED.match(line)) and len(line) < 60
 
 
+_LONG_WORD = re.compile(r"[^\W\d_]{4}")
+_SMALL_WORD = re.compile(r"(?<![^\W\d_])[a-zª-öø-ÿ][^\W\d_]{3}")
+
+
 def names_only(line: str) -> bool:
     """Whether all longer words of a line begin with a capital letter, as in lines that name somebody."""
-    words = [w for w in re.findall(r"[^\W\d_]{4,}", line)]
-    return bool(words) and all(w[0].isupper() for w in words)
+    return not _SMALL_WORD.search(line) and bool(_LONG_WORD.search(line))
 
 
 def digit_in_word(token: str) -> bool:
@@ -320,10 +323,8 @@ def mark_page(text: str, number: int | None, misread: Judge) -> list[tuple[int,
         if number is not None and len(line.strip()) <= 24 and is_page_number(line, number):
             out.append((k + 1, "page_number", None, None))
             furniture.add(k)
-        elif not _LABEL.match(line):
-            named = line.count("-") > 1 and bool(_ID.search(line))
-            shape = skeleton(line)
-            if named or len(shape) >= MIN_HEADER and not is_heading(line) and names_only(line):
+        elif (named := line.count("-") > 1 and bool(_ID.search(line))) or names_only(line):
+            if not _LABEL.match(line) and (named or not is_heading(line)) and (len(shape := skeleton(line)) >= MIN_HEADER or named):
                 out.append((k + 1, "edge", xxh3_64_hexdigest(shape), "id" if named else None))
             if named:
                 furniture.add(k)

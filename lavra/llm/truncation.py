@@ -177,10 +177,11 @@ def baselines(documents: DataFrame) -> DataFrame:
     """
     line = F.trim(F.col("line"))
     ended = F.struct(F.lit("line").alias("kind"), "source", F.substring_index(line, " ", 1).alias("word"), line.rlike(r"[.!?][\"”»’)\]]*$").alias("yes"))
-    stops = F.transform(
-        F.regexp_extract_all(line, F.lit(r"(?:^|[\s(])([\p{L}º]+\.\s+[\p{L}\p{N}])"), F.lit(1)),
-        lambda w: F.struct(F.lit("stop").alias("kind"), F.lit("").alias("source"), F.lower(F.substring_index(w, ".", 1)).alias("word"), w.rlike(r"[\p{Ll}\p{N}]\z").alias("yes")),
-    )
+    # a line is split at its full stops once; each but the last part ends in the word before one, the next begins behind it
+    last = lambda p: F.lower(F.substring_index(p, " ", -1))
+    stop = lambda p, q: F.struct(F.lit("stop").alias("kind"), F.lit("").alias("source"), F.ltrim(last(p), F.lit("(")).alias("word"), q.rlike(r"^[\p{Ll}\p{N}]").alias("yes"))
+    parts = F.transform(F.array(F.split(line, r"[.]\s+")), lambda p: F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p)), stop)).getItem(0)
+    stops = F.filter(parts, lambda x: x["word"].rlike(r"^[\p{L}º]+$"))
     return (
         documents.where(F.length("text") > 0)
         .select(F.coalesce("source", F.lit("")).alias("source"), F.explode(F.split("text", "\n")).alias("line"))
