@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lavra.llm import encoding, leakage, lookalike, names, scan_noise, site_lines, splitting, truncation
+from lavra.session import broadcast_if_small, cut
 from lavra.sources.tables import table
 
 
@@ -84,6 +85,31 @@ def p5_clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.clean_pages(pages, found)
 
 
+def p5_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to rebuild when the later half of the deliveries arrives: documents with a line whose status crossed a threshold.
+
+    The tables of the first half and the merged ones are written; only documents that hold a crossed line are looked at.
+    """
+    lines, sources = _site_lines(spark, sf_dir)
+    first = table(spark, sf_dir, "processed_documents").groupBy(F.col("sha256").alias("document_id")).agg(F.min("delivery_id").alias("d"))
+    early = first.where("d % 2 = 0").select("document_id")
+    half = lambda kind: site_lines.delta(lines.join(early, "document_id", kind), sources.join(early, "document_id", kind))
+    old = tuple(map(cut, half("left_semi")))
+    merged = tuple(cut(site_lines.merge_counts(a, b)) for a, b in zip(old, half("left_anti")))
+    crossed = site_lines.crossings(old, merged)
+    where = lines.join(broadcast_if_small(crossed), ["key_a", "key_b"]).join(sources, ["document_id", "source_name"])
+    return where.groupBy("page_id", "document_id").agg(F.countDistinct(F.when(F.col("crossed") > 0, F.col("line_no"))).alias("n_newly_repeated"), F.countDistinct(F.when(F.col("crossed") < 0, F.col("line_no"))).alias("n_no_longer"))
+
+
+def p5_merged_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of a repeated line by tables that were merged from two deltas; equal to ``p5_found``."""
+    lines, sources = _site_lines(spark, sf_dir)
+    early = table(spark, sf_dir, "processed_documents").groupBy(F.col("sha256").alias("document_id")).agg(F.min("delivery_id").alias("d")).where("d % 2 = 0").select("document_id")
+    half = lambda kind: site_lines.delta(lines.join(early, "document_id", kind), sources.join(early, "document_id", kind))
+    merged = (site_lines.merge_counts(a, b) for a, b in zip(half("left_semi"), half("left_anti")))
+    return site_lines.occurrences(lines, sources, site_lines.repeated_keys(*merged)).select("page_id", "line_no")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clauses and chunks over the limit."""
     clauses = splitting.oversized(table(spark, sf_dir, "clauses").select("document_id", F.col("clause_id").alias("item_id"), "text"))
@@ -136,7 +162,7 @@ def p10_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_canonical, p2_found, p2_pages, p4_found, p4_quotes_on_page, p5_found, p5_clean_pages, p6_found, p6_pieces, p6_clause_pieces, p8_ids,
+        p1_found, p1_canonical, p2_found, p2_pages, p4_found, p4_quotes_on_page, p5_found, p5_clean_pages, p5_incremental, p5_merged_found, p6_found, p6_pieces, p6_clause_pieces, p8_ids,
         p9_found, p9_leak_report, p10_found, p10_source_rates,
     )
 }

@@ -187,6 +187,14 @@ def test_digits_and_signs_meet_their_word_in_the_join(spark):
     assert all(map(judge, ("Segur0,", "p@gamento", "l4", "20l9."))) and not any(map(judge, ("zzz0", "10mm", "a@b.com", "seguro")))
 
 
+def test_merged_tables_find_what_one_pass_finds(spark, sf):
+    from lavra.llm import queries
+
+    whole, merged = queries.p5_found(spark, sf), queries.p5_merged_found(spark, sf)
+    assert whole.exceptAll(merged).count() == merged.exceptAll(whole).count() == 0
+    assert {"page_id", "document_id", "n_newly_repeated", "n_no_longer"} == set(queries.p5_incremental(spark, sf).columns)
+
+
 # --- problem 10
 BODY = "O segurado avisará a seguradora. A perda supere a franquia{0}"
 
