@@ -193,12 +193,14 @@ def baselines(documents: DataFrame) -> DataFrame:
 
 
 def document_states(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, state, word) of every document with text; an unknown source is empty."""
+    """(doc_id, source, state, word) of every document with text; an unknown source is empty.
+
+    No filter on the state here: pushed below the columns it would run the automaton a second time.
+    """
     return (
         documents.where(F.length("text") > 0)
         .select("doc_id", F.coalesce("source", F.lit("")).alias("source"), _state_udf("text").alias("s"))
         .select("doc_id", "source", "s.state", F.col("s.opener").alias("word"))
-        .where("state <> 'blank'")
     )
 
 
@@ -228,7 +230,7 @@ def truncated(documents: DataFrame) -> DataFrame:
 def truncation_rates(documents: DataFrame) -> DataFrame:
     """Per source: documents with text, truncated ones and their rate; an unknown source is null."""
     states = cut(document_states(documents))
-    base = states.groupBy("source").agg(F.countDistinct("doc_id").alias("n_docs"))
+    base = states.where("state <> 'blank'").groupBy("source").agg(F.countDistinct("doc_id").alias("n_docs"))
     found = verdicts(states, cut(baselines(documents))).groupBy("source").agg(F.count("*").alias("n_truncated"))
     n = F.coalesce("n_truncated", F.lit(0).cast("bigint"))
     return base.join(found, "source", "left").select(
