@@ -44,8 +44,8 @@ def held_phrases(norm: Column) -> Column:
     return _once(F.concat(F.lit(" "), norm, F.lit(" ")), lambda n: F.transform(F.filter(every, lambda a: F.contains(n, a)), lambda a: F.trim(a)))
 
 
-def prepare(clauses: DataFrame) -> DataFrame:
-    """Clauses once each as every step needs them: length in words, query words, phrases in text and title, flags of the title."""
+def reduce_clauses(clauses: DataFrame) -> DataFrame:
+    """Every row as the steps need it: length in words, query words and phrases of the text (``r``), phrases and flags of the title."""
     wanted = sorted({term for _, term, _ in dims.term_rows(True)})
     title, letters = F.coalesce(F.trim("title"), F.lit("")), F.regexp_replace(F.coalesce("title", F.lit("")), r"[^\p{L}]", "")
     norm_title = normalised(F.coalesce("title", F.lit("")))
@@ -54,13 +54,17 @@ def prepare(clauses: DataFrame) -> DataFrame:
         words = F.filter(F.split(n, " "), lambda w: w != "")
         return F.struct(F.size(words).alias("length"), F.filter(words, lambda w: w.isin(wanted)).alias("words"), held_phrases(n).alias("in_text"))
 
-    reduced = clauses.select(
+    return clauses.select(
         *_CLAUSE, "page_start", "page_end", norm_title.alias("norm_title"), _once(normalised(F.coalesce("text", F.lit(""))), read).alias("r"), held_phrases(norm_title).alias("in_title"),
         F.coalesce(F.col("text").rlike(r"\.{3,}\s*\d+"), F.lit(False)).alias("toc"),
         (title.rlike(r"^[0-9]{1,2}[.)]?\s+[^0-9]") | ((F.length(letters) >= 8) & (letters == F.upper(letters)))).alias("major"),
     )
+
+
+def prepare(clauses: DataFrame) -> DataFrame:
+    """Clauses once each, reduced."""
     # the struct is kept whole until rows meet, so that it is computed once
-    return cut(reduced.dropDuplicates(_CLAUSE).select(*_CLAUSE, "page_start", "page_end", "norm_title", "toc", "major", "r.length", "r.words", "r.in_text", "in_title"))
+    return cut(reduce_clauses(clauses).dropDuplicates(_CLAUSE).select(*_CLAUSE, "page_start", "page_end", "norm_title", "toc", "major", "r.length", "r.words", "r.in_text", "in_title"))
 
 
 def document_frequency(clauses: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lavra.functions import dims
-from lavra.operators import retrieval as R, vectors as V
+from lavra.operators import retrieval as R, stages as S, vectors as V
 from lavra.sources.tables import table
 
 
@@ -183,17 +183,15 @@ def r22_anchor_recall(spark, sf_dir):
 
 def _first_stage(spark, sf_dir):
     anchors = _anchors(spark, sf_dir)
-    hits, stages = R.cut(R.anchor_hits(anchors, _chunks(spark, sf_dir))), _all_stages(spark, sf_dir)
-    each = [hits.join(s.select("document_id", "field_name", "clause_id"), ["document_id", "field_name", "clause_id"], "left_semi").select("anchor_id", F.lit(k).alias("stage")) for k, s in enumerate(stages)]
-    found = each[0]
-    for more in each[1:]:
-        found = found.union(more)
-    return anchors.select("anchor_id", "document_id", "field_name").distinct().join(found.groupBy("anchor_id").agg(F.min("stage").alias("stage")), "anchor_id", "left").fillna(-1, ["stage"]), stages
+    hits, key = R.cut(R.anchor_hits(anchors, _chunks(spark, sf_dir))), ["document_id", "field_name", "clause_id"]
+    first = S.first_stages(table(spark, sf_dir, "clauses"), _numbers(spark, sf_dir), hits.select(*key))
+    found = hits.join(first, key).groupBy("anchor_id").agg(F.min("stage").alias("stage"))
+    return anchors.select("anchor_id", "document_id", "field_name").distinct().join(found, "anchor_id", "left").fillna(-1, ["stage"])
 
 
 def r24_progressive_stages(spark, sf_dir):
     """The stage at which each anchor is first reached when only fields not yet reached go on; -1 where none does."""
-    return _first_stage(spark, sf_dir)[0]
+    return _first_stage(spark, sf_dir)
 
 
 def r25_new_associations(spark, sf_dir):
@@ -208,8 +206,7 @@ def r25_new_associations(spark, sf_dir):
 
 def r26_stage_curve(spark, sf_dir):
     """Per stage: anchors reached in all and for critical fields, clauses selected, and batches of eight of them by document."""
-    first, stages = _first_stage(spark, sf_dir)
-    first = R.cut(first)
+    first, stages = R.cut(_first_stage(spark, sf_dir)), _all_stages(spark, sf_dir)
     critical, rows = F.col("field_name").isin(*dims.CRITICAL), None
     for k, selected in enumerate(stages):
         hit = F.col("stage").between(0, k)
