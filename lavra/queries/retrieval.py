@@ -196,12 +196,7 @@ def r24_progressive_stages(spark, sf_dir):
 
 def r25_new_associations(spark, sf_dir):
     """Fields and clauses that each stage adds to the one before."""
-    stages = [s.select("document_id", "field_name", "clause_id") for s in _all_stages(spark, sf_dir)]
-    out = None
-    for k in range(1, 5):
-        new = stages[k].exceptAll(stages[k - 1]).withColumn("stage", F.lit(k))
-        out = new if out is None else out.unionByName(new)
-    return out
+    return S.first_stages(table(spark, sf_dir, "clauses"), _numbers(spark, sf_dir)).where("stage > 0")
 
 
 def r26_stage_curve(spark, sf_dir):
